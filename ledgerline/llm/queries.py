@@ -7,7 +7,21 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerline.llm.common import table
 from ledgerline.llm.exact_dedup import exact_duplicates
 from ledgerline.llm.license_scan import license_scan
+from ledgerline.llm.mixing import mixed
+from ledgerline.llm.packing import packed
 from ledgerline.llm.sharding import shards
+from ledgerline.llm.simhash import near_duplicates
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public tokenizer's vocabulary; a parameter of the operators, never copied here."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,11 +32,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixed(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", "text", "copy", "copies", rows["rate"].cast("decimal(20,6)").cast("double").alias("rate"), "mix_key")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op7_exact_dedup, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op3_packing, op5_sharding, op7_exact_dedup, op8_mixing, op9_simhash, op10_license_scan)}
 
 ORACLES = {
     "op7_exact_dedup": """
@@ -30,4 +53,27 @@ ORACLES = {
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op8_mixing": """
+        WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS body, text FROM documents),
+        masses AS (SELECT source, sum(length(body))::DOUBLE AS mass FROM docs GROUP BY source),
+        wanted AS (SELECT source, mass, pow(mass, 0.7) AS wanted FROM masses),
+        rates AS (
+            SELECT source, coalesce(wanted / nullif(sum(wanted) OVER (), 0) * sum(mass) OVER () / nullif(mass, 0), 0) AS rate FROM wanted
+        ),
+        terms AS (
+            SELECT source, k, sum(CASE WHEN rate = 0 THEN CASE WHEN k = 0 THEN 1.0 ELSE 0.0 END ELSE exp(k * ln(rate) - rate - lgamma(k + 1)) END)
+                   OVER (PARTITION BY source ORDER BY k) AS cdf
+            FROM (SELECT source, nullif(rate, 0) AS r, rate, unnest(range(0, 200)) AS k FROM rates)
+        ),
+        cdfs AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM terms GROUP BY source),
+        drawn AS (
+            SELECT d.doc_id, d.source, d.text, r.rate,
+                   len(list_filter(c.cdf, lambda x: x < ((('0x' || substr(md5('17/' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0)) AS copies
+            FROM docs d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source JOIN cdfs c ON d.source IS NOT DISTINCT FROM c.source
+        ),
+        copied AS (SELECT *, unnest(range(0, copies)) AS copy FROM drawn)
+        SELECT doc_id, source, text, copy::INTEGER AS copy, copies::INTEGER AS copies, round(rate, 6) AS rate,
+               ((('0x' || substr(md5('17/' || coalesce(doc_id::VARCHAR, 'null') || '/' || copy::VARCHAR), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS mix_key
+        FROM copied
+    """,
 }
