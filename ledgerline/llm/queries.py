@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerline.llm.common import table
 from ledgerline.llm.exact_dedup import exact_duplicates
@@ -11,6 +12,7 @@ from ledgerline.llm.mixing import mixed
 from ledgerline.llm.packing import packed
 from ledgerline.llm.sharding import shards
 from ledgerline.llm.simhash import near_duplicates
+from ledgerline.llm.substring import repeated_substrings
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -28,6 +30,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), n_shards=40)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeated_substrings(table(spark, sf_dir, "documents"), window=20)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "removed")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -45,7 +52,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_sharding, op7_exact_dedup, op8_mixing, op9_simhash, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op3_packing, op5_sharding, op6_substring_dedup, op7_exact_dedup, op8_mixing, op9_simhash, op10_license_scan)}
 
 ORACLES = {
     "op7_exact_dedup": """
