@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import table
 from ledgerline.llm.exact_dedup import exact_duplicates
+from ledgerline.llm.html_extract import extracted
+from ledgerline.llm.language_id import fit, identified_documents, identified_pages, sampled
 from ledgerline.llm.license_scan import license_scan
 from ledgerline.llm.mixing import mixed
 from ledgerline.llm.packing import packed
@@ -22,10 +24,26 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = identified_documents(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "source", F.col("lang").alias("declared"), "language", "probability", "accepted", "text_language", "evidence")
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op1 over web pages: markup language, address suffix and host."""
+    model = fit(sampled(table(spark, sf_dir, "documents"), "text", "lang"))
+    rows = identified_pages(table(spark, sf_dir, "pages"), model)
+    return rows.select("page_id", "url", "language", "probability", "accepted", "text_language", "evidence")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"), n_shards=40)
 
@@ -52,7 +70,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op5_sharding, op6_substring_dedup, op7_exact_dedup, op8_mixing, op9_simhash, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_packing, op4_html_extraction, op5_sharding, op6_substring_dedup, op7_exact_dedup, op8_mixing, op9_simhash, op10_license_scan, language_of_pages)}
 
 ORACLES = {
     "op7_exact_dedup": """
