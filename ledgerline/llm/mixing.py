@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import durable
+
 SEED = 17
 #: Without given weights a source's target share follows its mass to this power (temperature sampling).
 TEMPERATURE = 0.7
@@ -61,9 +63,10 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, s
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED, temperature: float = TEMPERATURE, epochs: float = 1.0) -> DataFrame:
     """The input's columns for every copy, with ``copy`` (from 0), ``copies``, ``rate`` and ``mix_key``, in the order of the key.
 
-    Rates are joined null-safely and by a size that the planner checks; sources beyond it are joined by a shuffle.
+    Rates are joined null-safely.  They are written first, so that the planner knows their size and broadcasts them only
+    within its threshold; sources beyond it are joined by a shuffle.
     """
-    rates = repetition_rates(docs, weights, source_col, text_col, temperature, epochs)
+    rates = durable(repetition_rates(docs, weights, source_col, text_col, temperature, epochs))
     rows = docs.drop("copy", "copies", "rate", "mix_key")
     rated = rows.join(rates.select(F.col("source").alias("_source"), "rate"), rows[source_col].eqNullSafe(F.col("_source"))).drop("_source")
     drawn = rated.withColumn("copies", poisson_inverse(uniform(F.lit(seed), F.col(id_col)), F.col("rate")))
