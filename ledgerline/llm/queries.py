@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.llm.ann import nearest
 from ledgerline.llm.common import table
 from ledgerline.llm.exact_dedup import exact_duplicates
 from ledgerline.llm.html_extract import extracted
@@ -36,6 +37,10 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "url", "language", "probability", "accepted", "text_language", "evidence")
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_file())
 
@@ -70,7 +75,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_packing, op4_html_extraction, op5_sharding, op6_substring_dedup, op7_exact_dedup, op8_mixing, op9_simhash, op10_license_scan, language_of_pages)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_nearest, op3_packing, op4_html_extraction, op5_sharding, op6_substring_dedup, op7_exact_dedup, op8_mixing, op9_simhash, op10_license_scan, language_of_pages)}
 
 ORACLES = {
     "op7_exact_dedup": """
