@@ -3,8 +3,8 @@
 Fingerprints: one bit is set where over half of the shingles' XXH64 values (seed 42) have it.  Texts with one fingerprint
 are one vertex, so copies never meet each other.  Multi-index hashing: fingerprints that differ in at most d bits differ
 in at most floor(d / s) bits of one of s segments.  The table holds each fingerprint under each segment's value; a
-fingerprint looks up every value of the Hamming ball of that radius around its own segment, and what it finds is
-verified by the whole distance.  Look-ups and table rows of one value lie in one sorted run; a run gives the edges of a
+fingerprint looks up every value of the Hamming ball of that radius around its own segment (both sides share the radius
+where it is 2), and what it finds is verified by the whole distance.  Look-ups and table rows of one value lie in one sorted run; a run gives the edges of a
 spanning forest of its links, never all its pairs, and is compared in blocks, so its memory is that of its fingerprints.
 
 Defined results for odd input
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import durable, spread
 from ledgerline.llm.components import components
 
-BITS = 64
+WORD = 64
 SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -36,51 +36,66 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(LOWER).split()
 
 
-def shingle_hashes(text: bytes, size: int) -> np.ndarray:
-    """XXH64 of every shingle, repeats included."""
-    from xxhash import xxh64_intdigest
-
+def shingle_spans(text: bytes, size: int) -> list[bytes]:
+    """Every shingle, repeats included; fewer words than one has are one."""
     words = words_of(text)
     if not words:
-        return np.zeros(0, np.uint64)
+        return []
     line = b" ".join(words)
     if len(words) <= size:
-        return np.array([xxh64_intdigest(line, SEED)], np.uint64)
+        return [line]
     at, starts = 0, []
     for w in words:
         starts.append(at)
         at += len(w) + 1
-    ends = starts[size:] + [at]
-    return np.array([xxh64_intdigest(line[a : b - 1], SEED) for a, b in zip(starts, ends, strict=False)], np.uint64)
+    return [line[a : b - 1] for a, b in zip(starts, starts[size:] + [at], strict=False)]
+
+
+def shingle_hashes(text: bytes, size: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every shingle, repeats included."""
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(x, seed) for x in shingle_spans(text, size)], np.uint64)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
     """Bits that over half of the hashes have; zero of none."""
     if not len(hashes):
         return 0
-    counts = np.zeros(BITS, np.int64)
+    counts = np.zeros(WORD, np.int64)
     for at in range(0, len(hashes), 65536):
         block = hashes[at : at + 65536]
         counts += np.unpackbits(block.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
+    """``doc_id, fp``: the fingerprint as an array of signed 64-bit words; word i is made with the seed 42 + i."""
+    from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(shingle_hashes(t or b"", shingle)) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            prints = np.zeros((batch.num_rows, words), np.uint64)
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                spans = shingle_spans(text or b"", shingle)
+                for i in range(words):
+                    prints[row, i] = fingerprint(np.array([xxh64_intdigest(x, SEED + i) for x in spans], np.uint64))
+            values = pa.array(prints.view(np.int64).reshape(-1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(values, words).cast(pa.list_(pa.int64()))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(run, "doc_id long, fp array<long>")
 
 
-def segments(distance: int) -> list[tuple[int, int]]:
-    """Segments as (shift, width): half as many as differing bits can make, so that balls have radius 1, at least one."""
-    n = max(1, -(-(distance + 1) // 2))
-    cuts = [i * BITS // n for i in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+def segments(bits: int, distance: int) -> list[tuple[int, int, int]]:
+    """(word, shift, width) of segments.  There are as few as keep the radius within one at 1 or, for wide prints, 2.
+
+    A segment lies in one word of the fingerprint.
+    """
+    words = bits // WORD
+    radius = 1 if words == 1 else 2
+    each = -(-max(1, -(-(distance + 1) // (radius + 1))) // words)
+    cuts = [i * WORD // each for i in range(each + 1)]
+    return [(w, a, b - a) for w in range(words) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def ball(width: int, radius: int) -> list[int]:
@@ -91,79 +106,111 @@ def ball(width: int, radius: int) -> list[int]:
     return masks
 
 
-def run_edges(fps: np.ndarray, table: np.ndarray, distance: int, block: int = 256) -> list[tuple[int, int]]:
-    """Spanning forest of the links between the rows of one run: fingerprints, and which of them are table rows."""
-    values, inverse = np.unique(fps, return_inverse=True)
-    held = np.zeros(len(values), bool)
-    np.logical_or.at(held, inverse, table)
-    targets = np.flatnonzero(held)
-    label = np.arange(len(values))
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints; their words lie on the last axis."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def run_edges(vertex: np.ndarray, prints: np.ndarray, held: np.ndarray, distance: int, block: int = 256) -> list[tuple[int, int]]:
+    """Spanning forest of the links between the rows of one run: vertices, their fingerprints, which of them are table rows."""
+    ids, first, inverse = np.unique(vertex, return_index=True, return_inverse=True)
+    prints, table = prints[first], np.zeros(len(ids), bool)
+    np.logical_or.at(table, inverse, held)
+    targets = np.flatnonzero(table)
+    label = np.arange(len(ids))
     edges = []
-    for at in range(0, len(values), block):
-        near = np.bitwise_count(values[at : at + block, None] ^ values[None, targets]) <= distance
+    for at in range(0, len(ids), block):
+        near = apart(prints[at : at + block, None], prints[None, targets]) <= distance
         for i in np.flatnonzero(near.any(axis=1)):
             me, linked = at + int(i), targets[near[i]]
-            others, first = np.unique(label[linked], return_index=True)
-            for other, k in zip(others, first, strict=True):
-                if label[me] != other:
-                    edges.append((int(values[me]), int(values[linked[k]])))
-                    a, b = sorted((int(label[me]), int(other)))
-                    label[label == b] = a
-                    if b == label[me]:
-                        label[me] = a
+            others, spot = np.unique(label[linked], return_index=True)
+            for other, k in zip(others.tolist(), spot.tolist(), strict=True):
+                mine = int(label[me])
+                if mine != other:
+                    edges.append((int(ids[me]), int(ids[linked[k]])))
+                    label[label == max(mine, other)] = min(mine, other)
     return edges
 
 
-def links(prints: DataFrame, distance: int = 3) -> DataFrame:
-    """``a, b``: edges between distinct fingerprints that connect what lies within the distance."""
-    lookups = []
-    for s, (shift, width) in enumerate(segments(distance)):
-        mask = (1 << width) - 1
-        value = F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask)) if width < BITS else F.col("fp")
-        flips = F.array(*[F.lit(m).cast("long") for m in ball(width, distance // len(segments(distance)))])
-        lookups.append(prints.select("fp", F.lit(s).alias("segment"), value.alias("value"), F.explode(flips).alias("flip")))
-    rows = lookups[0]
-    for more in lookups[1:]:
-        rows = rows.union(more)
-    rows = rows.select("fp", F.xxhash64("segment", F.col("value").bitwiseXOR(F.col("flip"))).alias("key"), (F.col("flip") == 0).alias("held"))
+#: Runs up to this length are compared side by side, longer ones in blocks.
+SHORT_RUN = 256
+
+
+def short_edges(key: np.ndarray, vertex: np.ndarray, prints: np.ndarray, held: np.ndarray, distance: int) -> np.ndarray:
+    """Pairs of linked rows of one run, over many short runs at once: rows are compared with those 1, 2, ... places on."""
+    out = [np.zeros((0, 2), np.int64)]
+    here = np.arange(len(key) - 1)
+    step = 1
+    while len(here):
+        here = here[here + step < len(key)]
+        here = here[key[here] == key[here + step]]  # runs are contiguous: what is too far now stays so
+        near = here[(held[here] | held[here + step]) & (vertex[here] != vertex[here + step])]
+        near = near[apart(prints[near], prints[near + step]) <= distance]
+        out.append(np.stack((vertex[near], vertex[near + step]), axis=1))
+        step += 1
+    return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
+
+
+def links(vertices: DataFrame, bits: int = WORD, distance: int = 3) -> DataFrame:
+    """``a, b``: edges between vertices that connect what lies within the distance.
+
+    `vertices` has ``vertex`` and ``fp``.  Two fingerprints that differ in r bits of a segment meet at a value between
+    them: one is filed under the ball of radius r // 2 around its own, the other looks up the ball of the rest.
+    """
+    parts = segments(bits, distance)
+    radius = distance // len(parts)
+    small, wide = radius // 2, radius - radius // 2
+    rows = None
+    for s, (word, shift, width) in enumerate(parts):
+        fp = F.col("fp")[word]
+        value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)) if width < WORD else fp
+        flips = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(bin(m).count("1") <= small).alias("held")) for m in ball(width, wide)])
+        here = vertices.select("vertex", "fp", F.lit(s).alias("segment"), value.alias("value"), F.explode(flips).alias("flip"))
+        rows = here if rows is None else rows.union(here)
+    rows = rows.select(F.xxhash64("segment", F.col("value").bitwiseXOR(F.col("flip.m"))).alias("key"), "vertex", *[F.col("fp")[w].alias(f"w{w}") for w in range(bits // WORD)], F.col("flip.held").alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []  # parts of the run that goes on in the next batch
-
-        def runs(key: np.ndarray, fp: np.ndarray, held: np.ndarray) -> pa.RecordBatch:
+        def edges(key: np.ndarray, vertex: np.ndarray, held: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+            prints = np.stack(columns, axis=1).view(np.uint64)
             cuts = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
-            many = (ends - starts > 1) & np.logical_or.reduceat(held, starts)
-            edges = [e for a, b in zip(starts[many], ends[many], strict=True) for e in run_edges(fp[a:b], held[a:b], distance)]
-            pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
+            size = np.repeat(ends - starts, ends - starts)
+            short = (size > 1) & (size <= SHORT_RUN)
+            found = [short_edges(key[short], vertex[short], prints[short], held[short], distance)]
+            for a, b in zip(starts[ends - starts > SHORT_RUN], ends[ends - starts > SHORT_RUN], strict=True):
+                found.append(np.array(run_edges(vertex[a:b], prints[a:b], held[a:b], distance), np.int64).reshape(-1, 2))
+            pairs = np.concatenate(found)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+        def joined(chunks: list[list[np.ndarray]]) -> list[np.ndarray]:
+            return [np.concatenate(x) for x in zip(*chunks, strict=True)]
+
+        rest: list[list[np.ndarray]] = []  # chunks whose last run may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False)]
-            if rest and part[0][-1] == rest[0][0][0]:
-                rest.append(part)
+            chunk = [c.to_numpy(zero_copy_only=False) for c in (batch.column(0), batch.column(1), batch.column(len(batch.columns) - 1), *batch.columns[2:-1])]
+            rest.append(chunk)
+            if chunk[0][-1] == rest[0][0][0]:
                 continue
-            key, fp, held = (np.concatenate(x) for x in zip(*rest, part, strict=True)) if rest else part
-            last = int(np.searchsorted(key, key[-1], side="left"))
-            if last:
-                yield runs(key[:last], fp[:last], held[:last])
-            rest = [[key[last:], fp[last:], held[last:]]]
+            held = joined(rest)
+            last = int(np.searchsorted(held[0], held[0][-1], side="left"))
+            yield edges(*[c[:last] for c in held])
+            rest = [[c[last:] for c in held]]
         if rest:
-            yield runs(*(np.concatenate(x) for x in zip(*rest, strict=True)))
+            yield edges(*joined(rest))
 
-    sorted_rows = spread(rows.select("key", "fp", "held"), "key").sortWithinPartitions("key")
-    return sorted_rows.mapInArrow(run, "a long, b long")
+    return spread(rows, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """One row per input row: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the least id reachable."""
-    prints = durable(fingerprints(docs, id_col, text_col, shingle))
-    vertices = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    pairs = durable(links(vertices.select("fp"), distance))
-    reached = components(pairs, "a", "b").select(F.col("vertex").alias("fp"), "component")
-    named = vertices.join(reached, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, bits: int = WORD) -> DataFrame:
+    """One row per input row: ``doc_id, fingerprint`` (hex digits, a word after the other) and ``component_id``, the least id reachable."""
+    prints = durable(fingerprints(docs, id_col, text_col, shingle, bits // WORD))
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    vertices = durable(distinct.withColumn("vertex", F.monotonically_increasing_id()))  # written, so the numbers stand
+    pairs = durable(links(vertices.select("vertex", "fp"), bits, distance))
+    named = vertices.join(components(pairs, "a", "b"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    digits = F.concat_ws("", F.transform("fp", lambda w: F.lower(F.lpad(F.hex(w), 16, "0"))))
+    return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
