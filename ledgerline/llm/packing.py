@@ -34,12 +34,12 @@ CAPACITY = 2048
 END_ID = 1
 #: Documents of a cell, about.
 CELL_DOCS = 8192
-#: Distinct words whose ids a worker remembers; beyond it the memory starts anew, results do not change.
-WORDS_KEPT = 800_000
+#: Distinct words in a generation of a worker's memory, of which it keeps two; results do not depend on it.
+WORDS_KEPT = 600_000
 
 
-class WordIds(dict):
-    """Ids of texts as little-endian 32-bit bytes, word by word; the dictionary holds the words met so far.
+class WordIds:
+    """Ids of texts as little-endian 32-bit bytes, word by word, with a memory of the words met so far.
 
     Exact for tokenizers that drop white space, lower the case of ASCII letters and part a letter from the mark after it;
     `agrees` checks a text against the tokenizer itself.
@@ -50,6 +50,8 @@ class WordIds(dict):
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism here
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -59,33 +61,32 @@ class WordIds(dict):
         for blank in BLANKS:
             text = text.replace(blank, " ")
         words = text.split(" ")
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(words)
-            return b"".join(map(self.__getitem__, words))
-
-    def learn(self, words: list[str]) -> None:
-        if len(self) > self.kept:
-            self.clear()
-        plain: dict[str, tuple[str, str]] = {}
-        for w in words:
-            if w not in self and w not in plain:
-                core, mark = (w[:-1], w[-1]) if w[-1:] in MARKS and w[-2:-1].isalpha() else (w, "")
-                plain[w] = (core.lower() if core.isascii() else core, mark)
-        fresh = [w for w in dict.fromkeys(x for pair in plain.values() for x in pair) if w not in self]
+        new = set(words).difference(self.known)
+        if new:
+            self.learn(new, words)
+        return b"".join(map(self.known.__getitem__, words))
+
+    def learn(self, new: set[str], words: list[str]) -> None:
+        known = self.known
+        if len(known) > self.kept:  # a new generation; words that come again are taken over from the last one
+            self.before, known = known, {}
+            self.known, new = known, set(words)
+        old = {w for w in new if w in self.before}
+        known.update((w, self.before[w]) for w in old)
+        plain = {w: (w[:-1], w[-1]) if w[-1:] in MARKS and w[-2:-1].isalpha() else (w, "") for w in new - old}
+        plain = {w: (core.lower() if core.isascii() else core, mark) for w, (core, mark) in plain.items()}
+        fresh = {x for pair in plain.values() for x in pair}.difference(known)
         letters = [w for w in fresh if w.isalpha()]
         ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4") if letters else np.zeros(0, "<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
         if len(ends) == len(letters):  # one token that ends a word for each: the ids can be told apart
-            for w, a, b in zip(letters, [0, *ends.tolist()], ends.tolist(), strict=False):
-                self[w] = ids[a:b].tobytes()
-            fresh = [w for w in fresh if w not in self]
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
-        for w, (core, mark) in plain.items():
-            if w not in self:
-                self[w] = self[core] + self[mark]
+            blob = ids.tobytes()
+            known.update((w, blob[4 * a : 4 * b]) for w, a, b in zip(letters, [0, *ends], ends, strict=False))
+            fresh.difference_update(letters)
+        rest = list(fresh)
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+        known.update((w, known[core] + known[mark]) for w, (core, mark) in plain.items())
 
     def agrees(self, text: str) -> bool:
         return self.encode(text) == np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

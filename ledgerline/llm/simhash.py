@@ -132,22 +132,32 @@ def run_edges(vertex: np.ndarray, prints: np.ndarray, held: np.ndarray, distance
     return edges
 
 
-#: Runs up to this length are compared side by side, longer ones in blocks.
+#: Runs up to this length are compared side by side, many at once, longer ones in blocks.
 SHORT_RUN = 256
 
 
-def short_edges(key: np.ndarray, vertex: np.ndarray, prints: np.ndarray, held: np.ndarray, distance: int) -> np.ndarray:
-    """Pairs of linked rows of one run, over many short runs at once: rows are compared with those 1, 2, ... places on."""
-    out = [np.zeros((0, 2), np.int64)]
-    here = np.arange(len(key) - 1)
-    step = 1
+def short_edges(starts: np.ndarray, ends: np.ndarray, vertex: np.ndarray, prints: np.ndarray, held: np.ndarray, distance: int) -> np.ndarray:
+    """Edges of many short runs: rows are compared with those 1, 2, ... places on.
+
+    A run with more links than rows gives the edges of a spanning forest instead.
+    """
+    run = np.repeat(np.arange(len(starts)), ends - starts)
+    here = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)] or [np.zeros(0, int)])
+    stop = np.repeat(ends, ends - starts)
+    pairs, of, step = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], 1
     while len(here):
-        here = here[here + step < len(key)]
-        here = here[key[here] == key[here + step]]  # runs are contiguous: what is too far now stays so
-        near = here[(held[here] | held[here + step]) & (vertex[here] != vertex[here + step])]
-        near = near[apart(prints[near], prints[near + step]) <= distance]
-        out.append(np.stack((vertex[near], vertex[near + step]), axis=1))
+        more = here + step < stop
+        here, stop, run = here[more], stop[more], run[more]
+        near = (held[here] | held[here + step]) & (vertex[here] != vertex[here + step])
+        near[near] = apart(prints[here[near]], prints[here[near] + step]) <= distance
+        pairs.append(np.stack((vertex[here[near]], vertex[here[near] + step]), axis=1))
+        of.append(run[near])
         step += 1
+    links, of = np.concatenate(pairs), np.concatenate(of)
+    dense = np.bincount(of, minlength=len(starts)) > ends - starts
+    out = [links[~dense[of]]]
+    for a, b in zip(starts[dense], ends[dense], strict=True):
+        out.append(np.array(run_edges(vertex[a:b], prints[a:b], held[a:b], distance), np.int64).reshape(-1, 2))
     return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
 
 
@@ -174,10 +184,10 @@ def links(vertices: DataFrame, bits: int = WORD, distance: int = 3) -> DataFrame
             prints = np.stack(columns, axis=1).view(np.uint64)
             cuts = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
-            size = np.repeat(ends - starts, ends - starts)
+            size = ends - starts
             short = (size > 1) & (size <= SHORT_RUN)
-            found = [short_edges(key[short], vertex[short], prints[short], held[short], distance)]
-            for a, b in zip(starts[ends - starts > SHORT_RUN], ends[ends - starts > SHORT_RUN], strict=True):
+            found = [short_edges(starts[short], ends[short], vertex, prints, held, distance)]
+            for a, b in zip(starts[size > SHORT_RUN], ends[size > SHORT_RUN], strict=True):
                 found.append(np.array(run_edges(vertex[a:b], prints[a:b], held[a:b], distance), np.int64).reshape(-1, 2))
             pairs = np.concatenate(found)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
