@@ -37,13 +37,16 @@ def enemy_of() -> Column:
 class Fight:
     __slots__ = ("enemy", "opener", "ended", "allies", "raid")
 
-    def __init__(self, enemy: str, opener: int):
-        self.enemy, self.opener, self.ended, self.allies, self.raid = enemy, opener, 0, set(), False
+    def __init__(self, enemy: str, opener: int, ended: int = 0, allies=(), raid: bool = False):
+        self.enemy, self.opener, self.ended, self.allies, self.raid = enemy, opener, ended, set(allies), raid
 
 
-def assign(rows, options: Options) -> list[tuple[int, int, str]]:
-    """(seq, opener's seq, enemy) of each attached event of one session; rows are (seq, ts, is trigger, a, b, enemy)."""
-    active: dict[str, Fight] = {}
+def assign(rows, options: Options, active: dict[str, Fight] | None = None) -> list[tuple[int, int, str]]:
+    """(seq, opener's seq, enemy) of each attached event of one session; rows are (seq, ts, what, a, b, enemy).
+
+    `active` holds the open fights by enemy, and is changed; a stream hands it on from batch to batch.
+    """
+    active = {} if active is None else active
     out = []
     for seq, ts, what, a, b, enemy in rows:
         for name in [n for n, f in active.items() if ts - f.ended > (options.raid_timeout_ms if f.raid else options.group_timeout_ms)]:
@@ -64,6 +67,13 @@ def assign(rows, options: Options) -> list[tuple[int, int, str]]:
     return out
 
 
+def combat_rows(events: DataFrame, options: Options) -> DataFrame:
+    """What the machine needs of each event: number, time, what it is (1 trigger, 2 heal, 0 other), sides and enemy."""
+    fold = (lambda c: F.when(c.rlike(ARTICLE), F.lower(c)).otherwise(c)) if options.fold_article_case else (lambda c: c)
+    what = F.when(F.col("type").isin(*TRIGGERS), 1).when(F.col("type") == "heal", 2).otherwise(0)
+    return events.select("log_file_id", "session_no", "seq", "ts", what.alias("what"), fold(F.col("a_canonical")).alias("a"), fold(F.col("b_canonical")).alias("b"), fold(enemy_of()).alias("enemy"))
+
+
 def attached(events: DataFrame, options: Options | None = None) -> DataFrame:
     """``log_file_id, session_no, seq, opener_seq, enemy`` of events that belong to an encounter.
 
@@ -71,9 +81,6 @@ def attached(events: DataFrame, options: Options | None = None) -> DataFrame:
     later event may end a fight.
     """
     options = options or Options()
-    fold = (lambda c: F.when(c.rlike(ARTICLE), F.lower(c)).otherwise(c)) if options.fold_article_case else (lambda c: c)
-    what = F.when(F.col("type").isin(*TRIGGERS), 1).when(F.col("type") == "heal", 2).otherwise(0)
-    narrow = events.select("log_file_id", "session_no", "seq", "ts", what.alias("what"), fold(F.col("a_canonical")).alias("a"), fold(F.col("b_canonical")).alias("b"), fold(enemy_of()).alias("enemy"))
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq").astype({"a": object, "b": object, "enemy": object})
@@ -84,7 +91,7 @@ def attached(events: DataFrame, options: Options | None = None) -> DataFrame:
         out.insert(0, "log_file_id", key[0])
         return out
 
-    return narrow.groupBy("log_file_id", "session_no").applyInPandas(run, ASSIGNED)
+    return combat_rows(events, options).groupBy("log_file_id", "session_no").applyInPandas(run, ASSIGNED)
 
 
 def islands(events: DataFrame, part: list[str], order: str, ts: str, timeout: int, name: str = "island") -> DataFrame:
