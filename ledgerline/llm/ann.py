@@ -173,6 +173,7 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
         return spark.createDataFrame([], schema)
     size = int(lengths["n"])
     base = base.filter(F.size("v") == size)
+    files = pieces(lengths["count"], 20_000)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(vector, least ids) by distinct vector of the task, k + 1 ids at most; or (vector, one id) of each query."""
@@ -197,7 +198,7 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id
 
     parts = base.select("vec_id", "v").mapInArrow(packed, "vector binary, ids array<long>")
     merged = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1)
-    index = durable(parts.groupBy("vector").agg(merged.alias("ids")))
+    index = durable(parts.groupBy("vector").agg(merged.alias("ids")), files)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import discard, durable
+from ledgerline.llm.common import discard, durable, pieces
+
+#: Edges of a task, about.
+TASK_EDGES = 250_000
 
 
 def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,12 +28,13 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, src: str = "u", dst: str = "v", most_rounds: int = 60) -> DataFrame:
     """``vertex, component`` for every vertex that has an edge to another; the component is its least vertex.
 
-    Null ends and loops are left out; repeated edges count once; no edges give an empty table.
+    `edges` should be a written table, as it is read twice.  Null ends and loops are left out; repeated edges count once; no edges give an empty table.
     """
-    now = durable(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct())
+    parts = pieces(edges.count(), TASK_EDGES)
+    now = durable(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct(), parts)
     seen = None
     for _ in range(most_rounds):
-        after = durable(star(star(now, True), False))
+        after = durable(star(star(now, True), False), parts)
         # the edge sets are equal where count and hash sums are; a sum of 64-bit hashes as decimals does not overflow
         mark = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(now)

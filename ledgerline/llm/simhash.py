@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import durable, spread
+from ledgerline.llm.common import durable, pieces, spread
 from ledgerline.llm.components import components
 
 WORD = 64
 SEED = 42
+#: Fingerprints of a task, about.
+TASK_ROWS = 50_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -217,8 +219,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: ``doc_id, fingerprint`` (hex digits, a word after the other) and ``component_id``, the least id reachable."""
     prints = durable(fingerprints(docs, id_col, text_col, shingle, bits // WORD))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    vertices = durable(distinct.withColumn("vertex", F.monotonically_increasing_id()))  # written, so the numbers stand
-    pairs = durable(links(vertices.select("vertex", "fp"), bits, distance))
+    parts = pieces(prints.count(), TASK_ROWS)
+    vertices = durable(distinct.withColumn("vertex", F.monotonically_increasing_id()), parts)  # written, so the numbers stand
+    pairs = durable(links(vertices.select("vertex", "fp"), bits, distance).repartition(parts))
     named = vertices.join(components(pairs, "a", "b"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "component").select("fp", "component_id")
