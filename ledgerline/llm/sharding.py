@@ -25,7 +25,7 @@ from ledgerline.llm.common import durable, pieces
 #: Rows of a cell, about.
 CELL_ROWS = 8192
 #: A group larger than this share of a shard is dealt into parts.
-PART_OF_SHARD = 1 / 256
+PART_OF_SHARD = 1 / 16
 #: Bytes that each row adds to its text.
 ROW_BYTES = 16
 
@@ -63,7 +63,7 @@ def shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col
     most_bytes, most_rows = max(1, int(total / n_shards * PART_OF_SHARD)), max(1, int(n / n_shards * PART_OF_SHARD))
     groups = rows.groupBy("group").agg(F.sum("size").alias("g_size"), F.count(F.lit(1)).alias("g_rows"))
     parts = F.ceil(F.greatest(F.col("g_size") / most_bytes, F.col("g_rows") / most_rows)).cast("long")
-    # Every such group takes 1 / (256 x shards) of all bytes or rows at least, so there are at most 2 x 256 x shards of them.
+    # Every such group takes 1 / (16 x shards) of all bytes or rows at least, so there are at most 32 x shards of them.
     large = groups.filter(F.greatest(F.col("g_size") / most_bytes, F.col("g_rows") / most_rows) > 1).select("group", parts.alias("parts"))
     cells = pieces(n, cell_rows)
     dealt = (
@@ -73,7 +73,7 @@ def shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col
         .drop("parts")
     )
 
-    def in_cell(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def in_cell(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["group", "part", "doc_id", "size"], kind="stable", na_position="last", ignore_index=True)
         new = (frame["group"] != frame["group"].shift()) | (frame["part"] != frame["part"].shift())
         item = new.cumsum().to_numpy() - 1
