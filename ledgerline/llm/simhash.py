@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = pieces(prints.count(), TASK_ROWS)
     vertices = durable(distinct.withColumn("vertex", F.monotonically_increasing_id()), parts)  # written, so the numbers stand
-    pairs = durable(links(vertices.select("vertex", "fp"), bits, distance).repartition(parts))
+    pairs = durable(links(vertices.select("vertex", "fp"), bits, distance).repartition(8 * parts))
     named = vertices.join(components(pairs, "a", "b"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "component").select("fp", "component_id")
