@@ -104,7 +104,8 @@ def islands(events: DataFrame, part: list[str], order: str, ts: str, timeout: in
 def encounters(events: DataFrame, found: DataFrame, options: Options | None = None) -> DataFrame:
     """One row per encounter: id (by opening within the log), session, zone, name, enemy, times, status, scale."""
     options = options or Options()
-    later = Window.partitionBy("log_file_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    # backwards, since a frame that ends with the partition would be read anew for every row
+    later = Window.partitionBy("log_file_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     zone = last_value(F.when(F.col("type") == "zone_enter", F.col("zone")), ["log_file_id"], ["seq"])
     stance = last_value(F.when(F.col("type") == "stance_change", F.col("stance")), ["log_file_id"], ["seq"])
     invocation = last_value(F.when(F.col("type") == "invocation_change", F.col("invocation")), ["log_file_id"], ["seq"])

@@ -21,7 +21,9 @@ SUBJECT = r"^[A-Za-z][A-Za-z`' -]{0,39}\z"
 def ending(message: Column, endings: tuple[str, ...]) -> Column:
     """The first of the endings that the message has, beside something before it."""
     chain = [(F.endswith(message, F.lit(e)) & (F.length(message) > len(e)), F.lit(e)) for e in endings]
-    return reduce(lambda acc, x: acc.when(*x), chain[1:], F.when(*chain[0]))
+    short = min(map(len, endings))
+    found = reduce(lambda acc, x: acc.when(*x), chain[1:], F.when(*chain[0]))
+    return F.when(F.right(message, F.lit(short)).isin(*{e[-short:] for e in endings}), found)  # few messages end alike
 
 
 def fits(rule: Rule, message: Column, tail: Column) -> Column:
@@ -41,14 +43,25 @@ def first_rank(registry: Registry, message: Column, tail: Column) -> Column:
     return reduce(lambda acc, r: acc.when(fits(r, message, tail), r.rank), rules[1:], F.when(fits(rules[0], message, tail), rules[0].rank))
 
 
+#: Parts the groups of one line; no decoded line holds this private character.
+PART = "\ue000"
+
+
+def groups(registry: Registry) -> Column:
+    """The groups of the winning rule's pattern, by one match: the message is replaced by its groups and split again."""
+    having = [r for r in registry.rules if r.fields]
+    of = lambda value: F.element_at(F.create_map(*[F.lit(x) for r in having for x in (r.rank, value(r))]), F.col("_rank"))
+    parts = F.regexp_replace(F.col("_message"), of(lambda r: r.pattern), of(lambda r: PART.join(f"${k}" for k in range(1, len(r.fields) + 1))))
+    return F.when(of(lambda r: r.rule_id).isNotNull(), F.split(parts, PART))
+
+
 def captured(registry: Registry, name: str) -> Column:
     """A field's text by the rule that won; null where that rule has no such field or the field is absent."""
     having = [r for r in registry.rules if name in r.fields]
     if not having:
         return F.lit(None).cast("string")
-    rank, message = F.col("_rank"), F.col("_message")
-    chain = [(rank == r.rank, F.regexp_extract(message, r.pattern, r.fields[name])) for r in having]
-    return F.nullif(reduce(lambda acc, x: acc.when(*x), chain[1:], F.when(*chain[0])), F.lit(""))
+    group = F.element_at(F.create_map(*[F.lit(x) for r in having for x in (r.rank, r.fields[name])]), F.col("_rank"))
+    return F.nullif(F.element_at("_groups", group), F.lit(""))
 
 
 def constant(registry: Registry, name: str) -> Column:
@@ -72,6 +85,7 @@ def recognised(lines: DataFrame, registry: Registry | None = None, message: Colu
     rows = rows.withColumn("_tail", ending(F.col("_message"), endings) if endings else F.lit(None).cast("string"))
     known = F.col("line_ts").isNotNull() & ~F.col("overflow")
     rows = rows.withColumn("_rank", F.when(known, first_rank(registry, F.col("_message"), F.col("_tail"))))
+    rows = rows.withColumn("_groups", groups(registry))
     names = {n for r in registry.rules for n in r.fields} | {n for r in registry.rules for n in r.constants}
     rows = rows.select("*", *[F.coalesce(captured(registry, n), constant(registry, n).cast("string")).alias(f"_{n}") for n in sorted(names - {"rank", "message", "tail"})], captured(registry, "message").alias("_text"))
 

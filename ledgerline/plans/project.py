@@ -31,6 +31,16 @@ class Projections:
     overrides: DataFrame | None = None
     options: Options = Options()
 
+    def shared(self) -> Projections:
+        """Keep what most tables start from; lost parts are computed again from the events."""
+        self.timeline = self.timeline.persist()
+        self.attached = self.attached.persist()
+        return self
+
+    def release(self) -> None:
+        for rows in (self.timeline, self.attached):
+            rows.unpersist()
+
     @cached_property
     def states(self) -> DataFrame:
         return resolve.resolved(self.events, self.files, self.overrides)
