@@ -50,6 +50,19 @@ def mentions(events: DataFrame, files: DataFrame) -> DataFrame:
     return rows
 
 
+def signalled(signals: DataFrame, files: DataFrame) -> DataFrame:
+    """Mentions from outside the log: ``log_file_id, seq, ts, pet, owner, evidence_type`` says that a pet has an owner.
+
+    Evidence by name alone links nobody and is left out.  The owner is named too.
+    """
+    rows = signals.filter(F.col("evidence_type").isin(*[k for k in TRUST if k != "name_pattern"])).join(F.broadcast(files.select("log_file_id", "character")), "log_file_id", "left")
+    rows = rows.withColumn("owner_name", owner_of(F.col("character"))).withColumn("told_owner", canonical(F.col("owner"), F.col("owner_name"), F.col("character")))
+    trust = F.element_at(F.create_map(*[F.lit(x) for pair in TRUST.items() for x in pair]), F.col("evidence_type"))
+    both = F.array(F.struct(F.lit(0).alias("pos"), F.col("owner").alias("name"), F.lit(None).cast("string").alias("told"), F.lit(None).cast("double").alias("trust")), F.struct(F.lit(1).alias("pos"), F.col("pet").alias("name"), F.col("told_owner").alias("told"), trust.alias("trust")))
+    rows = rows.select("log_file_id", "seq", "ts", F.lit("owner_signal").alias("type"), "character", "owner_name", F.lit(False).alias("burns"), F.explode(both).alias("m"))
+    return rows.select("log_file_id", "seq", "ts", "type", "owner_name", "burns", "m.pos", F.lit("x").alias("side"), "m.name", canonical(F.col("m.name"), F.col("owner_name"), F.col("character")).alias("canonical"), "m.told", "m.trust")
+
+
 def overridden(rows: DataFrame, overrides: DataFrame | None) -> DataFrame:
     """User corrections of a name: ``user_kind`` and ``user_owner``; the latest of each field counts.
 
@@ -63,12 +76,14 @@ def overridden(rows: DataFrame, overrides: DataFrame | None) -> DataFrame:
     return rows.join(F.broadcast(named), ["log_file_id", "canonical"], "left").withColumn("user_kind", kind).drop("k", "last_field")
 
 
-def resolved(events: DataFrame, files: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def resolved(events: DataFrame, files: DataFrame, overrides: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
     """Each mention with what was known of its name then: ``kind, kind_confidence, link_owner, link_confidence, user``.
 
-    A link counts only while the name is a pet.  The event itself is part of what was known.
+    A link counts only while the name is a pet.  The event itself is part of what was known.  `signals` adds evidence
+    from outside the log (see `signalled`), under the number of the event from which it holds.
     """
-    rows = overridden(mentions(events, files), overrides)
+    rows = mentions(events, files).withColumn("told", F.lit(None).cast("string")).withColumn("trust", F.lit(None).cast("double"))
+    rows = overridden(rows if signals is None else rows.unionByName(signalled(signals, files)), overrides)
     is_owner = F.col("canonical") == F.col("owner_name")
     article, pet_like = F.col("name").rlike(ARTICLE), F.trim("name").rlike(PET_NAME)
     shield = (F.col("type") == "damage_shield") & (F.col("side") == "a") & ~is_owner
@@ -80,19 +95,21 @@ def resolved(events: DataFrame, files: DataFrame, overrides: DataFrame | None =
         return F.struct(F.lit(trust).alias("c"), (-F.col("seq")).alias("s"), F.lit(kind).alias("k"))
 
     sight = F.when(is_owner, rank("player", OWNER_TRUST)).when(article, rank("npc", ARTICLE_TRUST)).when(pet_like, rank("pet", TRUST["name_pattern"])).otherwise(rank(UNKNOWN, 0.0))
-    told = F.when(chatter, rank("pet", TRUST["pet_chatter"])).when(shield & (F.col("burns") | article), rank("npc", ARTICLE_TRUST)).when(candidate, rank("pet", TRUST["damage_shield_possessive"]))
+    outside = F.col("told").isNotNull()
+    told = F.when(outside, F.struct(F.col("trust").alias("c"), (-F.col("seq")).alias("s"), F.lit("pet").alias("k"))).when(chatter, rank("pet", TRUST["pet_chatter"])).when(shield & (F.col("burns") | article), rank("npc", ARTICLE_TRUST)).when(candidate, rank("pet", TRUST["damage_shield_possessive"]))
     best = F.greatest(sight, F.coalesce(told, sight))
-    link = F.when(chatter, TRUST["pet_chatter"]).when(candidate, TRUST["damage_shield_possessive"])
+    link = F.when(outside, F.col("trust")).when(chatter, TRUST["pet_chatter"]).when(candidate, TRUST["damage_shield_possessive"])
+    linked = F.when(link.isNotNull(), F.struct(link.alias("c"), (-F.col("seq")).alias("s"), F.coalesce("told", "owner_name").alias("o")))
     w = Window.partitionBy("log_file_id", "canonical").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
-    state = rows.withColumn("_kind", F.max(best).over(w)).withColumn("_link", F.max(link).over(w)).withColumn("evidence_count", F.count(link).over(w))
+    state = rows.withColumn("_kind", F.max(best).over(w)).withColumn("_link", F.max(linked).over(w)).withColumn("evidence_count", F.count(link).over(w))
     kind = F.coalesce("user_kind", F.col("_kind.k"))
     is_pet = kind == "pet"
     return state.select(
         "log_file_id", "seq", "ts", "type", "pos", "side", "name", "canonical", "owner_name",
         kind.alias("kind"),
         F.when(F.col("user_kind").isNotNull(), 1.0).otherwise(F.col("_kind.c")).alias("kind_confidence"),
-        F.when(is_pet, F.coalesce("user_owner", F.when(F.col("_link").isNotNull(), F.col("owner_name")))).alias("link_owner"),
-        F.when(is_pet, F.when(F.col("user_owner").isNotNull(), 1.0).otherwise(F.col("_link"))).alias("link_confidence"),
+        F.when(is_pet, F.coalesce("user_owner", F.col("_link.o"))).alias("link_owner"),
+        F.when(is_pet, F.when(F.col("user_owner").isNotNull(), 1.0).otherwise(F.col("_link.c"))).alias("link_confidence"),
         F.col("user_kind").isNotNull().alias("user"),
         F.col("burns"),
         "evidence_count",

@@ -18,6 +18,7 @@ from ledgerline.operators.parse import ending, recognised
 from ledgerline.operators.rules import Registry, Rule
 from ledgerline.operators.sessions import first_seen_ids, sessions, visits, with_sessions
 from ledgerline.plans import diagnostics as diag
+from ledgerline.session import reachable
 from ledgerline.sources import sink
 
 HOUR = 3_600_000
@@ -40,7 +41,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ class Projections:
     files: DataFrame
     overrides: DataFrame | None = None
     options: Options = Options()
+    signals: DataFrame | None = None
 
     def shared(self) -> Projections:
         """Keep what most tables start from; lost parts are computed again from the events."""
@@ -43,7 +44,7 @@ class Projections:
 
     @cached_property
     def states(self) -> DataFrame:
-        return resolve.resolved(self.events, self.files, self.overrides)
+        return resolve.resolved(self.events, self.files, self.overrides, self.signals)
 
     @cached_property
     def timeline(self) -> DataFrame:
@@ -97,7 +98,7 @@ class Projections:
     def entities(self) -> DataFrame:
         """Named participants of each log by first appearance; pets known from chatter alone have no row."""
         stage = F.when(F.col("type") == "pet_chatter", 9).otherwise(0)
-        seen = self.states.filter("type <> 'pet_chatter'").select("log_file_id", F.col("canonical").alias("name"), F.struct("seq", stage.alias("stage"), "pos").alias("at"))
+        seen = self.states.filter("type not in ('pet_chatter', 'owner_signal')").select("log_file_id", F.col("canonical").alias("name"), F.struct("seq", stage.alias("stage"), "pos").alias("at"))
         opened = self.sessions.select("log_file_id", F.col("character_name").alias("name"), "session_id").groupBy("log_file_id", "name").agg(F.min("session_id").alias("session_id"))
         first = self.timeline.groupBy("log_file_id", F.col("session_no").alias("session_id")).agg(F.min("seq").alias("seq"))
         owners = opened.join(first, ["log_file_id", "session_id"]).select("log_file_id", "name", F.struct("seq", F.lit(1).alias("stage"), F.lit(0).alias("pos")).alias("at"))

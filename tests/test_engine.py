@@ -3,6 +3,7 @@
 import pytest
 
 from ledgerline.operators.encounters import finalized
+from ledgerline.operators.resolve import attribution
 from ledgerline.plans import read
 from tests.support import events, files, log, melee, parsed, projected, step
 
@@ -172,3 +173,12 @@ def test_logs_do_not_mix(spark):
     p = projected(spark, both, n=2)
     assert sorted(rows(p.encounters, "log_file_id", "encounter_id")) == [(1, 1), (1, 2), (2, 1), (2, 2)]
     assert files(spark).count() == 1
+
+
+def test_signals_from_outside_link_to_whom_they_name(spark):
+    steps = [melee(0, "You", "a rat", 1), melee(S, "Ann", "a rat", 1), melee(S, "Helper", "a rat", 3), melee(S, "Helper", "a rat", 4)]
+    signals = spark.createDataFrame([(1, 4, 0, "Helper", "Ann", "pet_chatter"), (1, 1, 0, "Ann", "You", "name_pattern")], "log_file_id long, seq long, ts long, pet string, owner string, evidence_type string")
+    p = projected(spark, events(spark, *steps))
+    p.signals = signals
+    got = {(r.seq, r.source_name, r.attributed_name) for r in attribution(p.timeline.filter("seq >= 3")).collect()}
+    assert got == {(3, "Helper", "Helper"), (4, "Helper", "Ann")}
