@@ -9,6 +9,8 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.codegen.wholeStage", "false")  # small tables: compiling would take longer than running
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
