@@ -130,10 +130,9 @@ def host_priors(evidence: DataFrame, k: int, strength: float = STRENGTH) -> Data
     hosts = evidence.groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n"), *summed(k))
     hosts = durable(hosts.select("host", "suffix", "n", F.array(*[f"s{i}" for i in range(k)]).alias("counts")))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("m"), *summed(k, "counts"))
-    whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_n"), *[F.coalesce(F.sum(F.col("counts")[i]), F.lit(0.0)).alias(f"a{i}") for i in range(k)])
-    flat = F.array(*[F.lit(1.0 / k) for _ in range(k)])
-    top = whole.select(smoothed(F.array(*[f"a{i}" for i in range(k)]), F.col("all_n"), flat, 1.0).alias("top"))
-    parents = suffixes.join(F.broadcast(top)).select("suffix", smoothed(F.array(*[f"s{i}" for i in range(k)]), F.col("m"), F.col("top"), strength).alias("parent"))
+    whole = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), *[F.coalesce(F.sum(F.col("counts")[i]), F.lit(0.0)) for i in range(k)]).first()  # one number a language
+    top = F.array(*[F.lit((c + 1.0 / k) / (whole[0] + 1.0)) for c in whole[1:]])
+    parents = suffixes.select("suffix", smoothed(F.array(*[f"s{i}" for i in range(k)]), F.col("m"), top, strength).alias("parent"))
     return hosts.join(parents, "suffix").select("host", "suffix", "n", "counts", "parent")
 
 

@@ -51,22 +51,25 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, s
     """``source, mass, rate``: mass counts characters; the mixed corpus has `epochs` times the whole mass on average."""
     masses = docs.groupBy(F.col(source_col).alias("source")).agg(F.sum(F.length(F.coalesce(F.col(text_col), F.lit("")))).alias("mass"))
     if weights is None:
-        wanted = masses.withColumn("wanted", F.pow(F.col("mass").cast("double"), F.lit(temperature)))
+        share = F.pow(F.col("mass").cast("double"), F.lit(temperature))
     else:
         given = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.lit(None).cast("map<string,double>")
-        wanted = masses.withColumn("wanted", F.coalesce(F.element_at(given, F.col("source")), F.lit(0.0)).cast("double"))
-    sums = wanted.agg(F.sum("mass").alias("all_mass"), F.sum("wanted").alias("all_wanted"))
-    rate = F.col("wanted") / F.nullif(F.col("all_wanted"), F.lit(0.0)) * F.col("all_mass") / F.nullif(F.col("mass"), F.lit(0)) * epochs
-    return wanted.join(F.broadcast(sums)).select("source", "mass", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+        share = F.coalesce(F.element_at(given, F.col("source")), F.lit(0.0)).cast("double")
+    wanted = durable(masses.withColumn("wanted", share))
+    sums = wanted.agg(F.sum("mass").alias("mass"), F.sum("wanted").alias("wanted")).first()  # two numbers
+    if not sums["mass"] or not sums["wanted"]:
+        return wanted.select("source", "mass", F.lit(0.0).alias("rate"))
+    rate = F.col("wanted") / F.lit(float(sums["wanted"])) * F.lit(float(sums["mass"])) / F.nullif(F.col("mass"), F.lit(0)) * epochs
+    return wanted.select("source", "mass", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED, temperature: float = TEMPERATURE, epochs: float = 1.0) -> DataFrame:
     """The input's columns for every copy, with ``copy`` (from 0), ``copies``, ``rate`` and ``mix_key``, in the order of the key.
 
-    Rates are joined null-safely.  They are written first, so that the planner knows their size and broadcasts them only
-    within its threshold; sources beyond it are joined by a shuffle.
+    Rates are joined null-safely.  Masses are written first, so that the planner knows their size and broadcasts rates
+    only within its threshold; sources beyond it are joined by a shuffle.
     """
-    rates = durable(repetition_rates(docs, weights, source_col, text_col, temperature, epochs))
+    rates = repetition_rates(docs, weights, source_col, text_col, temperature, epochs)
     rows = docs.drop("copy", "copies", "rate", "mix_key")
     rated = rows.join(rates.select(F.col("source").alias("_source"), "rate"), rows[source_col].eqNullSafe(F.col("_source"))).drop("_source")
     drawn = rated.withColumn("copies", poisson_inverse(uniform(F.lit(seed), F.col(id_col)), F.col("rate")))
