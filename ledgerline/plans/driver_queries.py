@@ -229,9 +229,24 @@ def xp_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("per_hour", F.round(rate(F.col("total"), F.col("span_ms"), HOUR), 6))
 
 
-@query()
+#: The generator and its seeds in 64-bit arithmetic, 200 resamples of each group.
+BOOTSTRAP = """v AS (SELECT event_type AS value, value AS x, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+    seeds AS (SELECT value, n, list_reduce(list_prepend(xor(24301::UBIGINT, 2166136261::UBIGINT), list_transform(string_split(value, ''), lambda c: unicode(c)::UBIGINT)),
+        lambda h, c: (xor(h, c) * 16777619::UBIGINT) & 4294967295::UBIGINT) AS seed FROM (SELECT DISTINCT value, n FROM v)),
+    state AS (SELECT value, n, b, (seed + 1831565813::UBIGINT * (b * n + j + 1)::UBIGINT) & 4294967295::UBIGINT AS a FROM (SELECT *, unnest(range(n)) AS j FROM (SELECT *, unnest(range(200)) AS b FROM seeds))),
+    mixed AS (SELECT value, n, b, (xor(a, a >> 15) * (a | 1::UBIGINT)) & 4294967295::UBIGINT AS t FROM state),
+    turned AS (SELECT value, n, b, xor((t + ((xor(t, t >> 7) * (t | 61::UBIGINT)) & 4294967295::UBIGINT)) & 4294967295::UBIGINT, t) AS t FROM mixed),
+    picks AS (SELECT value, n, b, floor(xor(t, t >> 14)::DOUBLE / 4294967296.0 * n)::BIGINT AS i FROM turned),
+    means AS (SELECT p.value, p.n, p.b, sum(v.x) / p.n AS m FROM picks p JOIN v ON v.value = p.value AND v.i = p.i GROUP BY p.value, p.n, p.b),
+    ordered AS (SELECT value, n, list(m ORDER BY m) AS ms FROM means GROUP BY value, n),
+    averages AS (SELECT value, avg(x) AS mean FROM v GROUP BY 1),
+    bounds AS (SELECT o.value, o.n, mean, ms[floor((1 - 0.95) / 2 * 199)::INT + 1] AS ci_low, ms[floor((1 - (1 - 0.95) / 2) * 199)::INT + 1] AS ci_high FROM ordered o JOIN averages USING (value))"""
+
+
+@query(f"WITH {BOOTSTRAP} SELECT value, n, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high FROM bounds")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap(table(spark, sf_dir, "events"), "event_type", "value", resamples=200)
+    rows = bootstrap(table(spark, sf_dir, "events"), "event_type", "value", resamples=200)
+    return rows.select("value", "n", *[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")])
 
 
 @query("SELECT event_type AS value, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
@@ -240,12 +255,12 @@ def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("value", "n", F.round("mean", 6).alias("mean"))
 
 
-@query()
+@query(f"""WITH {BOOTSTRAP}, r AS (SELECT *, row_number() OVER (ORDER BY mean DESC, value) AS k FROM bounds), t AS (SELECT a.value, a.mean, a.n, a.ci_low, b.ci_high AS other FROM (SELECT * FROM r WHERE k = 1) a LEFT JOIN (SELECT * FROM r WHERE k = 2) b ON true),
+    d AS (SELECT *, CASE WHEN n < 8 THEN 'top group ' || chr(39) || value || chr(39) || ' has n=' || n || ', below the minimum n (8)' WHEN ci_low <= other THEN 'top groups' || chr(39) || ' confidence intervals overlap' END AS refused_reason FROM t)
+    SELECT CASE WHEN refused_reason IS NULL THEN value END AS winner, CASE WHEN refused_reason IS NULL THEN round(mean, 6) END AS winner_mean, refused_reason FROM d""")
 def bootstrap_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verdict(bootstrap(table(spark, sf_dir, "events"), "event_type", "value", resamples=200))
-
-
-MONTHS = "['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec']"
+    rows = verdict(bootstrap(table(spark, sf_dir, "events"), "event_type", "value", resamples=200))
+    return rows.withColumn("winner_mean", F.round("winner_mean", 6))
 
 
 @query(f"WITH {EV} SELECT event_id, ms // 1000 * 1000 AS ts, 'melee_hit' AS type, 'melee-hit-you' AS rule_id, 'user' || user_id AS target, cents AS amount FROM ev")
