@@ -72,7 +72,8 @@ def timestamp_ms(raw: Column) -> Column:
     fits = raw.rlike(rf"^\[(?:{days}) (?:{months}) {two} {two}:{two}:{two} \d{{4}}\] ")
     padded = [F.lpad(F.trim(F.substring(raw, at, 2)), 2, "0") for at in (10, 13, 16, 19)]
     text = F.concat_ws(" ", F.substring(raw, 22, 4), F.substring(raw, 6, 3), *padded)
-    return F.when(fits, F.unix_millis(F.try_to_timestamp(text, F.lit("yyyy MMM dd HH mm ss"))))
+    local = F.try_to_timestamp(text, F.lit("yyyy MMM dd HH mm ss")).cast("timestamp_ntz")  # the session's time zone comes in and goes out again
+    return F.when(fits, F.timestamp_diff("MILLISECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), local))
 
 
 def message_of(raw: Column) -> Column:
