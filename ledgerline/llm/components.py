@@ -21,9 +21,9 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     """Large star: each vertex ties its larger neighbours to the least of its neighbourhood; small star: the others."""
     both = edges.union(edges.select("v", "u")) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    # a vertex with very many edges is dealt over several tasks
+    # a vertex with very many edges is dealt over several tasks; the multiplied side is never broadcast
     every = F.array(*[F.lit(i).cast("long") for i in range(SALTS)])
-    tied = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(least.withColumn("salt", F.explode(every)), ["u", "salt"]).drop("salt")
+    tied = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS))).join(least.withColumn("salt", F.explode(every)).hint("merge"), ["u", "salt"]).drop("salt")
     if large:
         return tied.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     return tied.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
