@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import durable, pieces, spread
 from ledgerline.llm.components import components
+from ledgerline.llm.exact_dedup import content_hash
 
 WORD = 64
 SEED = 42
@@ -71,8 +72,11 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as an array of signed 64-bit words; word i is made with the seed 42 + i."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, text_key: bool = False) -> DataFrame:
+    """``doc_id, fp``: the fingerprint as an array of signed 64-bit words; word i is made with the seed 42 + i.
+
+    With `text_key` also that column: the content hash that the input carries under this name.
+    """
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +87,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for i in range(words):
                     prints[row, i] = fingerprint(np.array([xxh64_intdigest(x, SEED + i) for x in spans], np.uint64))
             values = pa.array(prints.view(np.int64).reshape(-1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(values, words).cast(pa.list_(pa.int64()))], names=["doc_id", "fp"])
+            fp = pa.FixedSizeListArray.from_arrays(values, words).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body")).mapInArrow(run, "doc_id long, fp array<long>")
+    more = ["text_key"] if text_key else []
+    columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"), *more]
+    return docs.select(*columns).mapInArrow(run, "doc_id long, fp array<long>" + ", text_key binary" * text_key)
 
 
 def segments(bits: int, distance: int) -> list[tuple[int, int, int]]:
@@ -215,15 +222,106 @@ def links(vertices: DataFrame, bits: int = WORD, distance: int = 3) -> DataFrame
     return spread(rows, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, bits: int = WORD) -> DataFrame:
-    """One row per input row: ``doc_id, fingerprint`` (hex digits, a word after the other) and ``component_id``, the least id reachable."""
-    prints = durable(fingerprints(docs, id_col, text_col, shingle, bits // WORD))
+def linked_prints(prints: DataFrame, bits: int, distance: int) -> DataFrame:
+    """``fp, least, component``: every fingerprint once, its least id, and the component of links within the distance."""
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = pieces(prints.count(), TASK_ROWS)
     vertices = durable(distinct.withColumn("vertex", F.monotonically_increasing_id()), parts)  # written, so the numbers stand
     pairs = durable(links(vertices.select("vertex", "fp"), bits, distance).repartition(8 * parts))
-    named = vertices.join(components(pairs, "a", "b"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+    return vertices.join(components(pairs, "a", "b"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, bits: int = WORD) -> DataFrame:
+    """One row per input row: ``doc_id, fingerprint`` (hex digits, a word after the other) and ``component_id``, the least id reachable."""
+    prints = durable(fingerprints(docs, id_col, text_col, shingle, bits // WORD))
+    named = linked_prints(prints, bits, distance)
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "component").select("fp", "component_id")
     digits = F.concat_ws("", F.transform("fp", lambda w: F.lower(F.lpad(F.hex(w), 16, "0"))))
     return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of distinct values the first one that links of this Jaccard similarity, or more, lead to.
+
+    Two such sets share one of their rarest values (prefix filter), so only sets that meet there and are not yet
+    connected are compared, by their whole values.
+    """
+    seen: dict[bytes, int] = {}
+    label = np.array([seen.setdefault(s.tobytes(), i) for i, s in enumerate(sets)], np.int64)
+    own = np.array([i for i in seen.values() if len(sets[i])], np.int64)
+    if len(own) < 2:
+        return label
+    size = np.array([len(sets[i]) for i in own])
+    _, inverse, count = np.unique(np.concatenate([sets[i] for i in own]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ranked = [np.sort(x) for x in np.split(rank[inverse], np.cumsum(size)[:-1])]
+    prefix = size - np.ceil(size * similarity - 1e-9).astype(np.int64) + 1
+    value, owner = np.concatenate([x[:p] for x, p in zip(ranked, prefix, strict=True)]), np.repeat(np.arange(len(own)), prefix)
+    order = np.lexsort((owner, value))
+    holders, place = owner[order], np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    begin = np.searchsorted(value[order], value)
+    root, met = np.arange(len(own)), np.full(len(own), -1)
+    for e in np.flatnonzero(place > begin).tolist():
+        me = int(owner[e])
+        others = holders[begin[e] : place[e]]
+        others = others[(root[others] != root[me]) & (met[others] != me)]
+        met[others] = me
+        for other in others[np.minimum(size[others], size[me]) >= similarity * np.maximum(size[others], size[me]) - 1e-9].tolist():
+            if root[other] == root[me]:
+                continue
+            both = len(np.intersect1d(ranked[me], ranked[other], assume_unique=True))
+            if both / (size[me] + size[other] - both) >= similarity:
+                root[root == max(root[me], root[other])] = min(root[me], root[other])
+    first = np.arange(len(sets))
+    first[own] = own[root]
+    return first[label]
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 29, bits: int = 128, similarity: float = 0.8) -> DataFrame:
+    """One row per input row: ``doc_id, text_key`` (the text's hash) and ``component_id``, the least id reachable.
+
+    Links join texts whose sets of shingles have this Jaccard similarity or more.  Fingerprints within the distance only
+    name the candidates: the texts of each of their components meet once, as hashes of shingles, and are compared there.
+    """
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("text_key", content_hash("body"))
+    prints = durable(fingerprints(keyed, "doc_id", "body", shingle, bits // WORD, text_key=True))
+    texts = prints.groupBy("text_key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"))
+    texts = durable(texts.join(linked_prints(prints, bits, distance).select("fp", "component"), "fp").select("text_key", "least", "component"))
+    crowded = texts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    # written, so that the planner knows its size and shuffles the texts only where it is large
+    close = durable(texts.join(crowded, "component").select(F.col("text_key").alias("key"), "least", "component"))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [np.unique(shingle_hashes(x, shingle)).tobytes() for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], names=["component", "key", "least", "shingles"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def classes(members: dict[bytes, tuple[int | None, bytes]]) -> list[tuple[bytes, int | None]]:
+            first = linked_sets([np.frombuffer(x, np.uint64) for _, x in members.values()], similarity).tolist()
+            least: dict[int, int] = {}
+            for f, (i, _) in zip(first, members.values(), strict=True):
+                if i is not None:
+                    least[f] = min(i, least.get(f, i))
+            return [(k, least.get(f)) for k, f in zip(members, first, strict=True)]
+
+        now, members = None, {}
+        for batch in batches:
+            out = []
+            for component, key, least, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if component != now:
+                    out += classes(members)
+                    now, members = component, {}
+                members[key] = (least, blob)
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([i for _, i in out], pa.int64())], names=["text_key", "linked"])
+        out = classes(members)
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([i for _, i in out], pa.int64())], names=["text_key", "linked"])
+
+    one = keyed.join(close, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    sets = one.select("component", "key", "least", F.col("body").cast("binary").alias("body")).mapInArrow(shingled, "component long, key binary, least long, shingles binary")
+    verified = spread(sets, "component").sortWithinPartitions("component").mapInArrow(compared, "text_key binary, linked long")
+    classes = texts.join(verified, "text_key", "left").select("text_key", F.coalesce("linked", "least").alias("component_id"))
+    return prints.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "text_key", "component_id")

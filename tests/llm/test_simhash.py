@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from ledgerline.llm.components import components
-from ledgerline.llm.simhash import apart, ball, links, near_duplicates, run_edges, segments
+from ledgerline.llm.simhash import apart, ball, linked_sets, links, near_duplicates, run_edges, segments, similar_texts
 
 SCHEMA = "doc_id long, text string, fp string, component_id string, vertex int"
 
@@ -103,3 +103,34 @@ def test_components_of_a_long_path(spark):
     df = spark.createDataFrame(edges, "u long, v long")
     got = {r.vertex: r.component for r in components(df).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_sets_are_linked_as_brute_force_links_them():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        sets = [np.zeros(0, np.uint64)] * 2
+        for _ in range(6):
+            base = rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64)
+            for _ in range(5):
+                x = base.copy()
+                x[rng.random(len(x)) < rng.choice([0, 0.05, 0.12, 0.3])] = rng.integers(0, 40)
+                sets.append(np.unique(x))
+        alike = lambda a, b: not len(a) | len(b) or 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        edges = [(i, j) for i in range(len(sets)) for j in range(i) if alike(sets[i], sets[j])]
+        assert linked_sets(sets, 0.8).tolist() == roots(len(sets), edges)
+
+
+def test_only_similar_texts_are_linked(spark):
+    rng = random.Random(12)
+    base = [f"w{rng.randint(0, 9000)}" for _ in range(300)]
+
+    def changed(n):
+        return " ".join("new" + str(rng.random()) if i % (300 // n) == 7 else w for i, w in enumerate(base))
+
+    # five shingles go with each word changed: 5 n of 296, so J = (296 - 5 n) / (296 + 5 n) is 0.84 of 5 words and 0.71 of 10
+    texts = [(1, " ".join(base)), (2, changed(5)), (3, changed(10)), (4, "  ".join(base).upper()), (None, changed(2)), (6, None), (7, " "), (7, "other text of one kind"), (8, "one two")]
+    got = similar_texts(spark.createDataFrame([(i, t, "a", "b", 1) for i, t in texts], SCHEMA)).collect()
+    near = near_duplicates(spark.createDataFrame([(i, t, "a", "b", 1) for i, t in texts[:3]], SCHEMA), shingle=5, distance=23, bits=128).collect()
+    assert {r.doc_id: r.component_id for r in near}[3] == 1  # fingerprints alone link the third text
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 1), (6, 6), (7, 6), (7, 7), (8, 8)]
+    assert similar_texts(spark.createDataFrame([], SCHEMA)).count() == 0
