@@ -44,47 +44,77 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td "
     "tfoot th thead tr ul".split()
 )
-#: Words of class, id or role that mark what is no main text.
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|notification|newsletter|subscribe|popup|modal|"
+#: Words of class, id or role that mark what is no main text: a whole one does, one between hyphens is doubtful.
+ASIDE_WORDS = (
+    r"(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|notice|notification|newsletter|subscribe|popup|modal|"
     r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|widget|related|share|social|comments?|disqus|respond|"
-    r"complementary|contentinfo|search|toolbar|pagination|skip)(?:$|[\s_-])",
-    re.I,
+    r"complementary|contentinfo|search|toolbar|pagination|skip)"
 )
+ASIDE_NAMES = re.compile(ASIDE_WORDS, re.I)
+DOUBTFUL_NAMES = re.compile(rf"(?:^|[_-]){ASIDE_WORDS}(?:$|[_-])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:main|article|post-content|entry-content|article-body|main-content)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
+MAIN_ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?\s*main(?=$|[\s\"'])", re.I)
+#: Elements that no class, id or role drops.
+WHOLE = frozenset("html body".split()) | MAIN
+
 UNDECIDED, KEEP, DROP = 0, 1, 2
+#: While parsing: dropped for its names alone; in a main landmark, but of a doubtful name.  The lines are dropped and undecided.
+NAMED, DOUBTFUL = 3, 4
 
 
-def role(name: str, attributes: str, above: int) -> int:
-    """What an element makes of its text.  Nothing within what is dropped is kept."""
-    if above == DROP or name in UNSEEN or name in ASIDE and not (above == KEEP and name == "header"):
+def role(name: str, attributes: str, above: int, spared: bool = False) -> int:
+    """What an element makes of its text.  Nothing within what is dropped is kept; the names of what is spared do not drop it."""
+    if above == DROP or name in UNSEEN or name in ASIDE and not (above in (KEEP, DOUBTFUL) and name == "header"):
         return DROP
+    named = doubtful = main = False
     if attributes:
         for key, a, b, c in ATTRIBUTE.findall(attributes):
-            value = a or b or c
-            if key.lower() == "hidden" or key.lower() == "aria-hidden" and value.lower() == "true":
-                return DROP
-            if key.lower() in ("class", "id", "role") and ASIDE_NAMES.search(value):
+            key, value = key.lower(), a or b or c
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return DROP
-            if key.lower() in ("class", "id", "role") and above == UNDECIDED and MAIN_NAMES.search(value):
-                above = KEEP
-    return KEEP if name in MAIN else above
-
-
-def lines_of(page: str) -> list[tuple[int, str]]:
-    """(role, text) of the blocks in page order: references decoded, white space one space, empty blocks left out."""
+            if key != "aria-hidden":
+                for word in value.split():
+                    if ASIDE_NAMES.fullmatch(word):
+                        named = True
+                    elif DOUBTFUL_NAMES.search(word):
+                        doubtful = True
+                    elif MAIN_NAMES.search(word):
+                        main = True
+    whole = name in WHOLE or MAIN_ROLE.search(attributes or "") is not None
+    if above == NAMED or named and not whole and not spared:
+        return NAMED
+    if name in MAIN or main and above != KEEP:
+        return KEEP
+    return DOUBTFUL if above == KEEP and (doubtful or named) and not whole else above
+
+
+def landmark(name: str, attributes: str) -> int:
+    """2 for the main landmark of a page, 1 for an element that may be one of many, else 0."""
+    if name == "main" or MAIN_ROLE.search(attributes):
+        return 2
+    return int(name == "article")
+
+
+def lines_of(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[int, str]]:
+    """(role, text) of the blocks in page order: references decoded, white space one space, empty blocks left out.
+
+    An element around a main landmark is not dropped for its names: the page is then read again with the places of such
+    elements as `spared`.  Around articles this holds where the page has no other main text, since comments and teasers
+    may be articles too.
+    """
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int, int | None]] = []  # name, role above, place if dropped for its names
+    around: dict[int, set[int]] = {1: set(), 2: set()}
     now, at, text = UNDECIDED, 0, []
 
     def close() -> None:
         line = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if line:
-            out.append((now, line))
+            out.append(({NAMED: DROP, DOUBTFUL: UNDECIDED}.get(now, now), line))
 
     while True:
         tag = TAG.search(page, at)
@@ -96,7 +126,9 @@ def lines_of(page: str) -> list[tuple[int, str]]:
         if not name:
             continue
         if not tag[1]:
-            new = role(name, tag[3], now)
+            new = role(name, tag[3], now, tag.start() in spared)
+            if now == NAMED == new and (rank := landmark(name, tag[3])):
+                around[rank].update(x[2] for x in stack if x[2] is not None)
             if name in BLOCKS or new != now:
                 close()
             if name in RAW:
@@ -107,7 +139,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a") and any(x[0] == "p" for x in stack):
                     now = stack.pop()[1]
             if name not in VOID and not tag[3].rstrip().endswith("/"):
-                stack.append((name, now))
+                stack.append((name, now, tag.start() if new == NAMED else None))
                 now = new
         else:
             if name in BLOCKS:
@@ -122,7 +154,8 @@ def lines_of(page: str) -> list[tuple[int, str]]:
                 if stack[k][0] in MAIN | ASIDE and name not in MAIN | ASIDE | {"body", "html"}:
                     break  # a stray end tag does not close a landmark
     close()
-    return out
+    more = around[2] or (set() if any(r == KEEP for r, _ in out) else around[1])
+    return lines_of(page, spared | more) if more - spared else out
 
 
 def shared_lines(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -65,3 +65,31 @@ def test_odd_input(spark):
 def test_roles():
     assert lines_of("a<main>b<nav>c</nav>d</main>e") == [(UNDECIDED, "a"), (KEEP, "b"), (DROP, "c"), (KEEP, "d"), (UNDECIDED, "e")]
     assert lines_of("<div hidden>x</div>y&nbsp; z<!-- no -->") == [(DROP, "x"), (UNDECIDED, "y z")]
+
+
+def test_names_of_the_page_and_of_articles_drop_nothing():
+    for page in (
+        "<body class='home no-sidebar'><p>text</p></body>",
+        "<html class='menu'><body class='has-header-image nav'><p>text</p></body></html>",
+        "<body><div class='widget'><p>text</p></div></body>",
+    ):
+        assert lines_of(page) == [(DROP if "widget" in page else UNDECIDED, "text")]
+    assert lines_of("<article class='post comments-open'><div class='entry-header'><h1>Title</h1></div><p>text</p></article>") == [(UNDECIDED, "Title"), (KEEP, "text")]
+    assert lines_of("<main id='search'><p>text</p><div class='comments'>first</div></main>") == [(KEEP, "text"), (DROP, "first")]
+    assert lines_of("<article><div class='has-sidebar'><header><h1>T</h1></header><div class='entry-content'>x</div></div></article>") == [(UNDECIDED, "T"), (KEEP, "x")]
+    assert lines_of("<ul class='main-menu'><li>Home</ul><div id='main' class='has-sidebar'>x</div>") == [(UNDECIDED, "Home"), (KEEP, "x")]
+
+
+def test_names_around_a_main_landmark_drop_nothing():
+    assert lines_of("<div class='header'><div class='nav'>a<div role='main' class='widget'>b</div></div><p>c</div>") == [(UNDECIDED, "a"), (KEEP, "b"), (UNDECIDED, "c")]
+    assert lines_of("<div class='sidebar'><p>a</p></div><div class='search'><main>b</main></div>") == [(DROP, "a"), (KEEP, "b")]
+    assert lines_of("<div class='widget'><article>a</article></div>") == [(KEEP, "a")]
+    assert lines_of("<main>a</main><div class='comments'><article>first</article></div>") == [(KEEP, "a"), (DROP, "first")]
+
+
+def test_a_title_in_a_doubtful_block_stays(spark):
+    def page(i):
+        return f"<body class='home no-sidebar'><div class='site-nav'>Menu</div><article class='post comments-open'><div class='entry-header'><h1>Title {i}</h1></div><p>text</p><div class='share-buttons'>Share</div></article></body>"
+
+    got = run(spark, [(i, f"http://a.org/x/{i}", page(i)) for i in (1, 2)])
+    assert [got[i, f"http://a.org/x/{i}"][0] for i in (1, 2)] == ["Title 1\ntext", "Title 2\ntext"]
