@@ -4,7 +4,7 @@
 
 * Text likelihood: byte trigrams under a smoothed multinomial for each language, tempered so that neighbouring trigrams
   of one long text do not count as independent: at most `EFFECTIVE` of them, at the text's mean.  The model is fitted on
-  a bounded sample of labelled rows (`per_language`, `longest`); everything else covers all rows and whole texts.
+  a bounded sample for every label that occurs (`per_language`, `longest`); all else covers all rows and whole texts.
 * Declared language (markup attribute or metadata): right with probability `RELIABILITY`, else any other language.
 * Host prior: expected language counts by grouped aggregation of text posteriors over all rows, smoothed hierarchically:
   the host's counts towards its address suffix's prior, that towards the prior of all rows.  A row's own posterior is
@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import durable
@@ -82,22 +82,23 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     return LanguageModel(languages, np.log(p).astype(np.float32))
 
 
-def sampled(labelled: DataFrame, text_col: str, label_col: str, per_language: int = 250, longest: int = 20_000, most_languages: int = 64) -> list[tuple[str, str]]:
-    """At most so many whole rows for each of the commonest languages, chosen by hash among texts of bounded length."""
-    rows = labelled.select(F.col(text_col).alias("t"), F.col(label_col).alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & F.length("t").between(1, longest))
-    sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
-    if not sizes:
-        return []
+def sampled(labelled: DataFrame, text_col: str, label_col: str, per_language: int = 250, longest: int = 20_000) -> list[tuple[str, str]]:
+    """At most so many distinct texts for each language that occurs, chosen by hash.
+
+    Texts of bounded length are taken whole; a language that has too few of them gets the beginnings of its longer ones.
+    """
+    text, label = F.col(text_col), F.col(label_col)
+    rows = labelled.filter(label.isNotNull() & (F.length(text) > 0)).select(F.substring(text, 1, longest).alias("t"), label.alias("l"), (F.length(text) > longest).alias("long"))
     grain = 1 << 30
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], min(grain, int(grain * 1.3 * per_language / r["count"]) + 1))])
-    chosen = rows.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(grain))).filter(F.col("h") < F.element_at(share, F.col("l")))
-    found = chosen.orderBy("h", "t").limit(2 * per_language * len(sizes)).collect()
-    out: dict[str, list[tuple[str, str]]] = {}
-    for r in found:
-        mine = out.setdefault(r["l"], [])
-        if len(mine) < per_language and (r["t"], r["l"]) not in mine[-3:]:
-            mine.append((r["t"], r["l"]))
-    return [x for lang in sorted(out) for x in out[lang]]
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("t"), F.lit(grain)))
+    # copies of a text share its hash, so distinct texts are counted; about 1.3 times what is wanted passes
+    sizes = rows.groupBy("l").agg(*[F.approx_count_distinct(F.when(F.col("long") == x, F.col("h"))).alias(n) for n, x in (("whole", False), ("cut", True))])
+    share = lambda n: F.lit(1.3 * per_language * grain) / F.greatest(F.col(n), F.lit(1))
+    sizes = sizes.select("l", share("whole").alias("whole"), F.when(F.col("whole") < per_language, share("cut")).otherwise(0.0).alias("cut"))
+    chosen = rows.join(F.broadcast(sizes), "l").filter(F.col("h") < F.when(F.col("long"), F.col("cut")).otherwise(F.col("whole")))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("long", "h", "t"))
+    found = chosen.select("l", "t", "long", "h").distinct().withColumn("place", place).filter(F.col("place") <= per_language).collect()
+    return [(r["t"], r["l"]) for r in sorted(found, key=lambda r: (r["l"], r["place"]))]
 
 
 def softmax(logs: Column) -> Column:

@@ -67,3 +67,14 @@ def test_odd_input(spark, data):
     assert all(r.language == "und" and not r.accepted and r.probability == 0 for r in got if r.text in (None, "", "123 !!"))
     assert identified_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r.language for r in identified_documents(spark.createDataFrame(odd[:1], SCHEMA)).collect()] == ["und"]
+
+
+def test_every_language_is_sampled(spark):
+    rng = random.Random(2)
+    copies = [(i, "the same text again", "en", "hub", "x", "y") for i in range(3000)] + [(4000 + i, prose(rng, "en", 20), "en", "hub", "x", "y") for i in range(30)]
+    rare = [(5000 + i, f"rare {i} " + prose(rng, "fr", 10), f"l{i:02}", "hub", "x", "y") for i in range(70)]
+    long = [(6000 + i, prose(rng, "de", 9000)[: 20_001 + i], "de", "hub", "x", "y") for i in range(3)]
+    got = sampled(spark.createDataFrame(copies + rare + long, SCHEMA), "text", "lang", per_language=20)
+    count = {lang: sum(x == lang for _, x in got) for lang in {x for _, x in got}}
+    assert len(set(got)) == len(got) and set(count) == {"en", "de", *(f"l{i:02}" for i in range(70))}
+    assert count["en"] == 20 and count["de"] == 3 and all(len(t) <= 20_000 for t, _ in got)
