@@ -281,7 +281,8 @@ def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 29, bits: int = 128, similarity: float = 0.8) -> DataFrame:
-    """One row per input row: ``doc_id, text_key`` (the text's hash) and ``component_id``, the least id reachable.
+    """One row per input row: ``doc_id, text_key`` (the text's hash), ``component_id``, the least id reachable, and
+    ``component_key``, the text that has it (of several the one with the least hash).
 
     Links join texts whose sets of shingles have this Jaccard similarity or more.  Fingerprints within the distance only
     name the candidates: the texts of each of their components meet once, as hashes of shingles, and are compared there.
@@ -300,13 +301,17 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], names=["component", "key", "least", "shingles"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def classes(members: dict[bytes, tuple[int | None, bytes]]) -> list[tuple[bytes, int | None]]:
+        def classes(members: dict[bytes, tuple[int | None, bytes]]) -> list[tuple[bytes, int | None, bytes]]:
             first = linked_sets([np.frombuffer(x, np.uint64) for _, x in members.values()], similarity).tolist()
-            least: dict[int, int] = {}
-            for f, (i, _) in zip(first, members.values(), strict=True):
-                if i is not None:
-                    least[f] = min(i, least.get(f, i))
-            return [(k, least.get(f)) for k, f in zip(members, first, strict=True)]
+            best: dict[int, tuple] = {}
+            for f, (k, (i, _)) in zip(first, members.items(), strict=True):
+                mine = (i is None, i or 0, k, i)
+                best[f] = min(mine, best.get(f, mine))
+            return [(k, best[f][3], best[f][2]) for k, f in zip(members, first, strict=True)]
+
+        def batch_of(out: list[tuple[bytes, int | None, bytes]]) -> pa.RecordBatch:
+            keys, ids, kept = zip(*out, strict=True) if out else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(kept, pa.binary())], names=["text_key", "linked", "linked_key"])
 
         now, members = None, {}
         for batch in batches:
@@ -316,12 +321,11 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     out += classes(members)
                     now, members = component, {}
                 members[key] = (least, blob)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([i for _, i in out], pa.int64())], names=["text_key", "linked"])
-        out = classes(members)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.binary()), pa.array([i for _, i in out], pa.int64())], names=["text_key", "linked"])
+            yield batch_of(out)
+        yield batch_of(classes(members))
 
     one = keyed.join(close, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least")))
     sets = one.select("component", "key", "least", F.col("body").cast("binary").alias("body")).mapInArrow(shingled, "component long, key binary, least long, shingles binary")
-    verified = spread(sets, "component").sortWithinPartitions("component").mapInArrow(compared, "text_key binary, linked long")
-    classes = texts.join(verified, "text_key", "left").select("text_key", F.coalesce("linked", "least").alias("component_id"))
-    return prints.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "text_key", "component_id")
+    verified = spread(sets, "component").sortWithinPartitions("component").mapInArrow(compared, "text_key binary, linked long, linked_key binary")
+    classes = texts.join(verified, "text_key", "left").select("text_key", F.coalesce("linked", "least").alias("component_id"), F.coalesce("linked_key", "text_key").alias("component_key"))
+    return prints.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "text_key", "component_id", "component_key")

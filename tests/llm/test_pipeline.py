@@ -39,3 +39,15 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, "")
         assert out.count() == 0
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"w{rng.randint(0, 9000)}" for _ in range(200)) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, b), (3, c), (0, c), (3, a + " more"), (3, b[:40])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    once = corpus_pipeline.drop_copies(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in once.collect()) == sorted([(0, c), (1, a), (1, b), (3, a + " more"), (3, b[:40])])
+    near = spark.createDataFrame([*once.collect(), (1, a + " end", "en", "s", 1)], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, near, "").collect()]
+    assert len(kept) == 4 and {(0, c), (1, b), (3, b[:40])} < set(kept) and {t for i, t in kept if i == 1} - {b} <= {a, a + " end"}
