@@ -34,7 +34,10 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v", most_rounds: in
 
     `edges` should be a written table, as it is read twice.  Null ends and loops are left out; repeated edges count once; no edges give an empty table.
     """
-    parts = pieces(edges.count(), TASK_EDGES)
+    n = edges.count()
+    if not n:
+        return edges.sparkSession.createDataFrame([], "vertex long, component long")
+    parts = pieces(n, TASK_EDGES)
     now = durable(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct(), parts)
     seen = None
     for _ in range(most_rounds):
@@ -48,3 +51,11 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v", most_rounds: in
             return now.select(F.col("u").alias("vertex"), F.col("v").alias("component")).union(roots)
         seen = mark
     raise RuntimeError(f"components did not settle within {most_rounds} rounds")
+
+
+def with_least(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """`rows` with the least `value` of their group as a column `name`; a large group's rows are dealt over several tasks."""
+    least = rows.groupBy(group).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    every = F.array(*[F.lit(i).cast("long") for i in range(SALTS)])
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    return dealt.join(least.withColumn("salt", F.explode(every)).hint("merge"), [group, "salt"], "left").drop("salt").withColumn(name, F.coalesce(name, value))

@@ -4,8 +4,10 @@ Fingerprints: one bit is set where over half of the shingles' XXH64 values (seed
 are one vertex, so copies never meet each other.  Multi-index hashing: fingerprints that differ in at most d bits differ
 in at most floor(d / s) bits of one of s segments.  The table holds each fingerprint under each segment's value; a
 fingerprint looks up every value of the Hamming ball of that radius around its own segment (both sides share the radius
-where it is 2), and what it finds is verified by the whole distance.  Look-ups and table rows of one value lie in one sorted run; a run gives the edges of a
-spanning forest of its links, never all its pairs, and is compared in blocks, so its memory is that of its fingerprints.
+where it is 2), and what it finds is verified by the whole distance.  Look-ups and table rows of one value lie in one
+sorted run; a run gives the edges of a spanning forest of its links, never all its pairs, and is compared in blocks, so
+its memory is that of its fingerprints.  Where links must also have a Jaccard similarity, sets of sizes that rule it out
+are not compared.
 
 Defined results for odd input
 * null text and text without words have the fingerprint zero and are linked like any other;
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import durable, pieces, spread
-from ledgerline.llm.components import components
+from ledgerline.llm.components import components, with_least
 from ledgerline.llm.exact_dedup import content_hash
 
 WORD = 64
@@ -72,37 +74,55 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, text_key: bool = False) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as an array of signed 64-bit words; word i is made with the seed 42 + i.
+#: Odd numbers that make further hashes of a shingle from its first; word i > 0 of a fingerprint uses the i-th.
+MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
-    With `text_key` also that column: the content hash that the input carries under this name.
+
+def further(hashes: np.ndarray, i: int) -> np.ndarray:
+    """The i-th hash of each shingle, from the first by xor-shifts and products."""
+    if not i:
+        return hashes
+    x = (hashes ^ np.uint64(MIX[(i - 1) % len(MIX)] * (2 * i - 1) % (1 << 64))) * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ x >> np.uint64(29)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, words: int = 1, text_key: bool = False, sets: bool = False) -> DataFrame:
+    """``doc_id, fp, size``: the fingerprint as an array of signed 64-bit words, the first of them made with the seed 42.
+
+    With `sets` every shingle counts once and ``size`` is their number, else 0.  With `text_key` also that column: the
+    content hash that the input carries under this name.
     """
-    from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.zeros((batch.num_rows, words), np.uint64)
+            prints, size = np.zeros((batch.num_rows, words), np.uint64), np.zeros(batch.num_rows, np.int64)
             for row, text in enumerate(batch.column(1).to_pylist()):
-                spans = shingle_spans(text or b"", shingle)
+                hashes = shingle_hashes(text or b"", shingle)
+                if sets:
+                    hashes = np.unique(hashes)
+                    size[row] = len(hashes)
                 for i in range(words):
-                    prints[row, i] = fingerprint(np.array([xxh64_intdigest(x, SEED + i) for x in spans], np.uint64))
+                    prints[row, i] = fingerprint(further(hashes, i))
             values = pa.array(prints.view(np.int64).reshape(-1))
             fp = pa.FixedSizeListArray.from_arrays(values, words).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fp, *batch.columns[2:]], names=["doc_id", "fp", *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), fp, pa.array(size), *batch.columns[2:]], names=["doc_id", "fp", "size", *more])
 
     more = ["text_key"] if text_key else []
     columns = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"), *more]
-    return docs.select(*columns).mapInArrow(run, "doc_id long, fp array<long>" + ", text_key binary" * text_key)
+    return docs.select(*columns).mapInArrow(run, "doc_id long, fp array<long>, size long" + ", text_key binary" * text_key)
 
 
-def segments(bits: int, distance: int) -> list[tuple[int, int, int]]:
-    """(word, shift, width) of segments.  There are as few as keep the radius within one at 1 or, for wide prints, 2.
+def segment_count(bits: int, distance: int) -> int:
+    """As few segments as keep the radius within 1 or, for wide prints, 2: then nothing within the distance is missed."""
+    return -(-(distance + 1) // (2 if bits == WORD else 3))
 
-    A segment lies in one word of the fingerprint.
-    """
+
+def segments(bits: int, count: int) -> list[tuple[int, int, int]]:
+    """(word, shift, width) of so many segments, or a few more; a segment lies in one word of the fingerprint."""
     words = bits // WORD
-    radius = 1 if words == 1 else 2
-    each = -(-max(1, -(-(distance + 1) // (radius + 1))) // words)
+    each = -(-max(1, count) // words)
     cuts = [i * WORD // each for i in range(each + 1)]
     return [(w, a, b - a) for w in range(words) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -120,18 +140,30 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def run_edges(vertex: np.ndarray, prints: np.ndarray, held: np.ndarray, distance: int, block: int = 256) -> list[tuple[int, int]]:
-    """Spanning forest of the links between the rows of one run: vertices, their fingerprints, which of them are table rows."""
+def alike(small: np.ndarray, large: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity; always where sizes are not known."""
+    return small >= similarity * large - 1e-9
+
+
+def run_edges(vertex: np.ndarray, prints: np.ndarray, held: np.ndarray, size: np.ndarray, distance: int, similarity: float, block: int = 256) -> list[tuple[int, int]]:
+    """Spanning forest of the links between the rows of one run: vertices, their fingerprints, which of them are table
+    rows, and their sizes."""
     ids, first, inverse = np.unique(vertex, return_index=True, return_inverse=True)
-    prints, table = prints[first], np.zeros(len(ids), bool)
+    table = np.zeros(len(ids), bool)
     np.logical_or.at(table, inverse, held)
+    order = np.argsort(size[first], kind="stable")
+    ids, prints, table, size = ids[order], prints[first][order], table[order], size[first][order]
     targets = np.flatnonzero(table)
     label = np.arange(len(ids))
     edges = []
     for at in range(0, len(ids), block):
-        near = apart(prints[at : at + block, None], prints[None, targets]) <= distance
+        end = min(at + block, len(ids))
+        # sizes that some row of the block allows
+        fit = targets[alike(size[targets], size[at], similarity) & alike(size[end - 1], size[targets], similarity)]
+        near = apart(prints[at:end, None], prints[None, fit]) <= distance
+        near &= alike(np.minimum(size[at:end, None], size[None, fit]), np.maximum(size[at:end, None], size[None, fit]), similarity)
         for i in np.flatnonzero(near.any(axis=1)):
-            me, linked = at + int(i), targets[near[i]]
+            me, linked = at + int(i), fit[near[i]]
             others, spot = np.unique(label[linked], return_index=True)
             for other, k in zip(others.tolist(), spot.tolist(), strict=True):
                 mine = int(label[me])
@@ -145,10 +177,10 @@ def run_edges(vertex: np.ndarray, prints: np.ndarray, held: np.ndarray, distance
 SHORT_RUN = 256
 
 
-def short_edges(starts: np.ndarray, ends: np.ndarray, vertex: np.ndarray, prints: np.ndarray, held: np.ndarray, distance: int) -> np.ndarray:
-    """Edges of many short runs: rows are compared with those 1, 2, ... places on.
+def short_edges(starts: np.ndarray, ends: np.ndarray, vertex: np.ndarray, prints: np.ndarray, held: np.ndarray, size: np.ndarray, distance: int, similarity: float) -> np.ndarray:
+    """Edges of many short runs: rows are compared with those 1, 2, ... places on, while these are not too large.
 
-    A run with more links than rows gives the edges of a spanning forest instead.
+    The rows of a run ascend by size.  A run with more links than rows gives the edges of a spanning forest instead.
     """
     run = np.repeat(np.arange(len(starts)), ends - starts)
     here = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)] or [np.zeros(0, int)])
@@ -156,6 +188,7 @@ def short_edges(starts: np.ndarray, ends: np.ndarray, vertex: np.ndarray, prints
     pairs, of, step = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], 1
     while len(here):
         more = here + step < stop
+        more[more] = alike(size[here[more]], size[here[more] + step], similarity)
         here, stop, run = here[more], stop[more], run[more]
         near = (held[here] | held[here + step]) & (vertex[here] != vertex[here + step])
         near[near] = apart(prints[here[near]], prints[here[near] + step]) <= distance
@@ -166,38 +199,40 @@ def short_edges(starts: np.ndarray, ends: np.ndarray, vertex: np.ndarray, prints
     dense = np.bincount(of, minlength=len(starts)) > ends - starts
     out = [links[~dense[of]]]
     for a, b in zip(starts[dense], ends[dense], strict=True):
-        out.append(np.array(run_edges(vertex[a:b], prints[a:b], held[a:b], distance), np.int64).reshape(-1, 2))
+        out.append(np.array(run_edges(vertex[a:b], prints[a:b], held[a:b], size[a:b], distance, similarity), np.int64).reshape(-1, 2))
     return np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
 
 
-def links(vertices: DataFrame, bits: int = WORD, distance: int = 3) -> DataFrame:
-    """``a, b``: edges between vertices that connect what lies within the distance.
+def links(vertices: DataFrame, bits: int = WORD, distance: int = 3, count: int | None = None, similarity: float = 0.0) -> DataFrame:
+    """``a, b``: edges between vertices that connect what lies within the distance and has sizes that the similarity allows.
 
-    `vertices` has ``vertex`` and ``fp``.  Two fingerprints that differ in r bits of a segment meet at a value between
-    them: one is filed under the ball of radius r // 2 around its own, the other looks up the ball of the rest.
+    `vertices` has ``vertex``, ``fp`` and ``size``.  Two fingerprints that differ in r bits of a segment meet at a value
+    between them: one is filed under the ball of radius r // 2 around its own, the other looks up the ball of the rest.
+    With the `count` of `segment_count` nothing is missed; fewer, wider segments miss pairs near the distance and compare
+    fewer that are far apart.
     """
-    parts = segments(bits, distance)
-    radius = distance // len(parts)
+    parts = segments(bits, count or segment_count(bits, distance))
+    radius = min(distance // len(parts), 1 if bits == WORD else 2)
     small, wide = radius // 2, radius - radius // 2
     rows = None
     for s, (word, shift, width) in enumerate(parts):
         fp = F.col("fp")[word]
         value = F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)) if width < WORD else fp
         flips = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(bin(m).count("1") <= small).alias("held")) for m in ball(width, wide)])
-        here = vertices.select("vertex", "fp", F.lit(s).alias("segment"), value.alias("value"), F.explode(flips).alias("flip"))
+        here = vertices.select("vertex", "fp", "size", F.lit(s).alias("segment"), value.alias("value"), F.explode(flips).alias("flip"))
         rows = here if rows is None else rows.union(here)
-    rows = rows.select(F.xxhash64("segment", F.col("value").bitwiseXOR(F.col("flip.m"))).alias("key"), "vertex", *[F.col("fp")[w].alias(f"w{w}") for w in range(bits // WORD)], F.col("flip.held").alias("held"))
+    rows = rows.select(F.xxhash64("segment", F.col("value").bitwiseXOR(F.col("flip.m"))).alias("key"), "vertex", F.col("size").cast("int").alias("size"), F.col("flip.held").alias("held"), *[F.col("fp")[w].alias(f"w{w}") for w in range(bits // WORD)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(key: np.ndarray, vertex: np.ndarray, held: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+        def edges(key: np.ndarray, vertex: np.ndarray, size: np.ndarray, held: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
             prints = np.stack(columns, axis=1).view(np.uint64)
             cuts = np.flatnonzero(np.diff(key)) + 1
             starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))
-            size = ends - starts
-            short = (size > 1) & (size <= SHORT_RUN)
-            found = [short_edges(starts[short], ends[short], vertex, prints, held, distance)]
-            for a, b in zip(starts[size > SHORT_RUN], ends[size > SHORT_RUN], strict=True):
-                found.append(np.array(run_edges(vertex[a:b], prints[a:b], held[a:b], distance), np.int64).reshape(-1, 2))
+            rows = ends - starts
+            short = (rows > 1) & (rows <= SHORT_RUN)
+            found = [short_edges(starts[short], ends[short], vertex, prints, held, size, distance, similarity)]
+            for a, b in zip(starts[rows > SHORT_RUN], ends[rows > SHORT_RUN], strict=True):
+                found.append(np.array(run_edges(vertex[a:b], prints[a:b], held[a:b], size[a:b], distance, similarity), np.int64).reshape(-1, 2))
             pairs = np.concatenate(found)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
@@ -208,7 +243,7 @@ def links(vertices: DataFrame, bits: int = WORD, distance: int = 3) -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            chunk = [c.to_numpy(zero_copy_only=False) for c in (batch.column(0), batch.column(1), batch.column(len(batch.columns) - 1), *batch.columns[2:-1])]
+            chunk = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             rest.append(chunk)
             if chunk[0][-1] == rest[0][0][0]:
                 continue
@@ -219,24 +254,22 @@ def links(vertices: DataFrame, bits: int = WORD, distance: int = 3) -> DataFrame
         if rest:
             yield edges(*joined(rest))
 
-    return spread(rows, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return spread(rows, "key").sortWithinPartitions("key", "size").mapInArrow(run, "a long, b long")
 
 
-def linked_prints(prints: DataFrame, bits: int, distance: int) -> DataFrame:
-    """``fp, least, component``: every fingerprint once, its least id, and the component of links within the distance."""
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+def linked_prints(prints: DataFrame, bits: int, distance: int, count: int | None = None, similarity: float = 0.0) -> DataFrame:
+    """``fp, size, least, component``: every fingerprint (of a size) once, its least id, and the component of its links."""
+    distinct = prints.groupBy("fp", "size").agg(F.min("doc_id").alias("least"))
     parts = pieces(prints.count(), TASK_ROWS)
     vertices = durable(distinct.withColumn("vertex", F.monotonically_increasing_id()), parts)  # written, so the numbers stand
-    pairs = durable(links(vertices.select("vertex", "fp"), bits, distance).repartition(8 * parts))
+    pairs = durable(links(vertices.select("vertex", "fp", "size"), bits, distance, count, similarity).repartition(8 * parts))
     return vertices.join(components(pairs, "a", "b"), "vertex", "left").withColumn("component", F.coalesce("component", "vertex"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, bits: int = WORD) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint`` (hex digits, a word after the other) and ``component_id``, the least id reachable."""
     prints = durable(fingerprints(docs, id_col, text_col, shingle, bits // WORD))
-    named = linked_prints(prints, bits, distance)
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "component").select("fp", "component_id")
+    classes = with_least(linked_prints(prints, bits, distance), "component", "least", "component_id").select("fp", "component_id")
     digits = F.concat_ws("", F.transform("fp", lambda w: F.lower(F.lpad(F.hex(w), 16, "0"))))
     return prints.join(classes, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
 
@@ -280,52 +313,65 @@ def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return first[label]
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 29, bits: int = 128, similarity: float = 0.8) -> DataFrame:
+#: Texts and shingles of a block of a component; a task compares two blocks.
+BLOCK_TEXTS = 2048
+BLOCK_SHINGLES = 2_000_000
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, distance: int = 29, bits: int = 128, similarity: float = 0.8, count: int = 8, block_texts: int = BLOCK_TEXTS) -> DataFrame:
     """One row per input row: ``doc_id, text_key`` (the text's hash), ``component_id``, the least id reachable, and
     ``component_key``, the text that has it (of several the one with the least hash).
 
     Links join texts whose sets of shingles have this Jaccard similarity or more.  Fingerprints within the distance only
-    name the candidates: the texts of each of their components meet once, as hashes of shingles, and are compared there.
+    name the candidates: each component of these is cut into blocks of bounded size, every two blocks meet in one task as
+    hashes of shingles, and all that may link is compared there.
     """
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("text_key", content_hash("body"))
-    prints = durable(fingerprints(keyed, "doc_id", "body", shingle, bits // WORD, text_key=True))
-    texts = prints.groupBy("text_key").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"))
-    texts = durable(texts.join(linked_prints(prints, bits, distance).select("fp", "component"), "fp").select("text_key", "least", "component"))
-    crowded = texts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+    prints = durable(fingerprints(keyed, "doc_id", "body", shingle, bits // WORD, text_key=True, sets=True))
+    texts = prints.groupBy("text_key").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("doc_id").alias("least"))
+    candidates = linked_prints(prints, bits, distance, count, similarity).select("fp", "size", "component")
+    texts = durable(texts.join(candidates, ["fp", "size"]).select(F.monotonically_increasing_id().alias("vertex"), "text_key", "least", "size", "component"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block_texts, F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    crowded = texts.groupBy("component").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("n > 1").select("component", "blocks")
     # written, so that the planner knows its size and shuffles the texts only where it is large
-    close = durable(texts.join(crowded, "component").select(F.col("text_key").alias("key"), "least", "component"))
+    close = durable(texts.join(crowded, "component").select(F.col("text_key").alias("key"), "least", "vertex", "component", F.greatest("blocks", F.lit(1)).alias("blocks")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = [np.unique(shingle_hashes(x, shingle)).tobytes() for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], names=["component", "key", "least", "shingles"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], names=["component", "blocks", "vertex", "shingles"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def classes(members: dict[bytes, tuple[int | None, bytes]]) -> list[tuple[bytes, int | None, bytes]]:
-            first = linked_sets([np.frombuffer(x, np.uint64) for _, x in members.values()], similarity).tolist()
-            best: dict[int, tuple] = {}
-            for f, (k, (i, _)) in zip(first, members.items(), strict=True):
-                mine = (i is None, i or 0, k, i)
-                best[f] = min(mine, best.get(f, mine))
-            return [(k, best[f][3], best[f][2]) for k, f in zip(members, first, strict=True)]
-
-        def batch_of(out: list[tuple[bytes, int | None, bytes]]) -> pa.RecordBatch:
-            keys, ids, kept = zip(*out, strict=True) if out else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(kept, pa.binary())], names=["text_key", "linked", "linked_key"])
-
-        now, members = None, {}
+        def batch_of(meetings: list[tuple[bool, list[int], list[bytes]]]) -> pa.RecordBatch:
+            out: list[list] = [[], [], []]
+            for whole, vertices, blobs in meetings:
+                first = linked_sets([np.frombuffer(x, np.uint64) for x in blobs], similarity).tolist()
+                out[0] += vertices
+                out[1] += [vertices[f] for f in first]
+                out[2] += [whole] * len(vertices)
+            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], names=["vertex", "other", "whole"])
+
+        now, mine = None, (True, [], [])
         for batch in batches:
-            out = []
-            for component, key, least, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if component != now:
-                    out += classes(members)
-                    now, members = component, {}
-                members[key] = (least, blob)
-            yield batch_of(out)
-        yield batch_of(classes(members))
-
-    one = keyed.join(close, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    sets = one.select("component", "key", "least", F.col("body").cast("binary").alias("body")).mapInArrow(shingled, "component long, key binary, least long, shingles binary")
-    verified = spread(sets, "component").sortWithinPartitions("component").mapInArrow(compared, "text_key binary, linked long, linked_key binary")
-    classes = texts.join(verified, "text_key", "left").select("text_key", F.coalesce("linked", "least").alias("component_id"), F.coalesce("linked_key", "text_key").alias("component_key"))
+            done = []
+            for component, low, high, blocks, vertex, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (component, low, high) != now:
+                    done.append(mine)
+                    now, mine = (component, low, high), (blocks == 1, [], [])
+                mine[1].append(vertex)
+                mine[2].append(blob)
+            yield batch_of(done)
+        yield batch_of([mine])
+
+    one = keyed.join(close, (F.col("text_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("least"))).dropDuplicates(["vertex"])
+    sets = one.select("component", "blocks", "vertex", F.col("body").cast("binary").alias("body")).mapInArrow(shingled, "component long, blocks int, vertex long, shingles binary")
+    mine = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("blocks") - 1), F.array("mine")))
+    met = sets.withColumn("mine", mine).withColumn("other", F.explode(others))
+    met = met.select("component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "blocks", "vertex", "shingles")
+    found = durable(spread(met, "component", "low", "high").sortWithinPartitions("component", "low", "high", "vertex").mapInArrow(compared, "vertex long, other long, whole boolean"))
+    across = components(found.filter("not whole and vertex <> other"), "vertex", "other")
+    classes = found.filter("whole").select("vertex", F.col("other").alias("class")).union(across.select("vertex", F.col("component").alias("class")))
+    named = texts.select("vertex", "text_key", F.struct(F.col("least").isNull().alias("no"), "least", "text_key").alias("best")).join(classes, "vertex", "left").withColumn("class", F.coalesce("class", "vertex"))
+    classes = with_least(named, "class", "best", "chosen").select("text_key", F.col("chosen.least").alias("component_id"), F.col("chosen.text_key").alias("component_key"))
     return prints.select("doc_id", "text_key").join(classes, "text_key").select("doc_id", "text_key", "component_id", "component_key")

@@ -5,15 +5,20 @@ import pytest
 import xxhash
 
 from ledgerline.llm.components import components
-from ledgerline.llm.simhash import apart, ball, linked_sets, links, near_duplicates, run_edges, segments, similar_texts
+from ledgerline.llm.simhash import MIX, apart, ball, linked_sets, links, near_duplicates, run_edges, segment_count, segments, similar_texts
 
 SCHEMA = "doc_id long, text string, fp string, component_id string, vertex int"
 
 
-def brute_print(text, size, seed=42):
+def brute_print(text, size, word=0):
     words = [w for w in text.translate({c: c + 32 for c in range(65, 91)}).encode().split()]
     shingles = [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
-    hashes = [xxhash.xxh64_intdigest(x, seed) for x in shingles]
+    hashes = [xxhash.xxh64_intdigest(x, 42) for x in shingles]
+    if word:
+        full = (1 << 64) - 1
+        hashes = [(h ^ MIX[word - 1] * (2 * word - 1) & full) * 0xFF51AFD7ED558CCD & full for h in hashes]
+        hashes = [(h ^ h >> 32) * 0xC4CEB9FE1A85EC53 & full for h in hashes]
+        hashes = [h ^ h >> 29 for h in hashes]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
@@ -43,7 +48,7 @@ def test_against_brute_force(spark, shingle, distance, bits):
                 words[rng.randrange(len(words))] = f"x{rng.randint(0, 999)}"
             rows.append((g * 6 + c, " ".join(words)))
     rng.shuffle(rows)
-    prints = [[brute_print(t or "", shingle, 42 + w) for w in range(bits // 64)] for _, t in rows]
+    prints = [[brute_print(t or "", shingle, w) for w in range(bits // 64)] for _, t in rows]
     edges = [(i, j) for i in range(len(rows)) for j in range(i) if sum((a ^ b).bit_count() for a, b in zip(prints[i], prints[j], strict=True)) <= distance]
     root = roots(len(rows), edges)
     least = {r: min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root)}
@@ -67,7 +72,7 @@ def test_no_link_is_lost(spark, bits, distance):
             prints.append(p)
     prints = sorted(set(prints))
     rows = [(i, [((p >> 64 * w & (1 << 64) - 1) + (1 << 63)) % (1 << 64) - (1 << 63) for w in range(words)]) for i, p in enumerate(prints)]
-    df = spark.createDataFrame(rows, "vertex long, fp array<long>")
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vertex long, fp array<long>, size long")
     got = [(r.a, r.b) for r in links(df, bits, distance).collect()]
     want = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= distance]
     assert all((prints[a] ^ prints[b]).bit_count() <= distance for a, b in got)
@@ -77,7 +82,7 @@ def test_no_link_is_lost(spark, bits, distance):
 def test_long_run_gives_a_forest():
     rng = np.random.default_rng(1)
     fp = np.unique((np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 900).astype(np.uint64)))
-    edges = run_edges(np.arange(len(fp)), fp[:, None], np.ones(len(fp), bool), 3)
+    edges = run_edges(np.arange(len(fp)), fp[:, None], np.ones(len(fp), bool), np.zeros(len(fp), int), 3, 0.0)
     near = apart(fp[:, None, None], fp[None, :, None]) <= 3
     assert roots(len(fp), edges) == roots(len(fp), [(i, j) for i in range(len(fp)) for j in range(i) if near[i, j]])
     assert len(edges) < len(fp)
@@ -85,7 +90,7 @@ def test_long_run_gives_a_forest():
 
 def test_segments_hold_the_pigeonhole():
     for bits, distance in ((64, 3), (64, 0), (64, 7), (128, 20), (128, 17)):
-        parts = segments(bits, distance)
+        parts = segments(bits, segment_count(bits, distance))
         assert sum(w for _, _, w in parts) == bits and distance // len(parts) <= (1 if bits == 64 else 2)
     assert len(ball(16, 2)) == 137
 
@@ -98,6 +103,33 @@ def test_odd_input(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_sizes_that_rule_out_the_similarity_are_not_linked():
+    rng = np.random.default_rng(4)
+    size = rng.integers(1, 60, 700)
+    fp = rng.integers(0, 1 << 12, (700, 1)).astype(np.uint64)
+    edges = run_edges(np.arange(700), fp, np.ones(700, bool), size, 2, 0.8)
+    want = [(i, j) for i in range(700) for j in range(i) if int(fp[i, 0] ^ fp[j, 0]).bit_count() <= 2 and 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])]
+    assert roots(700, edges) == roots(700, want)
+
+
+def test_blocks_of_a_component_meet(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(3):
+        words = [f"w{rng.randint(0, 9000)}" for _ in range(200)]
+        for _ in range(25):  # a chain: each text differs a little from the last one
+            words[rng.randrange(200)] = f"x{rng.random()}"
+            rows.append((len(rows), " ".join(words)))
+    rng.shuffle(rows)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in rows]
+    edges = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = roots(len(rows), edges)
+    want = {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if root[j] == root[i]) for i in range(len(rows))}
+    df = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in [*rows, rows[0]]], SCHEMA)
+    for size in (4, 2048):
+        assert {r.doc_id: r.component_id for r in similar_texts(df, block_texts=size).collect()} == want
+
+
 def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)]
     df = spark.createDataFrame(edges, "u long, v long")
