@@ -13,9 +13,11 @@ from ledgerline.session import reachable
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark is one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -42,6 +44,18 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that `df` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in stems:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def pieces(n: int, per_piece: int) -> int:
     """How many groups of about `per_piece` rows `n` rows make, one at least."""
     return max(1, math.ceil(n / per_piece))

@@ -14,10 +14,12 @@ Defined results for odd input
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import durable
+from ledgerline.llm.common import durable, fresh
 
 SEED = 17
 #: Without given weights a source's target share follows its mass to this power (temperature sampling).
@@ -32,19 +34,31 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, DIGITS), 16, 10).cast("double") + 0.5) / float(16**DIGITS)
 
 
+#: Above this rate the sum starts 12 deviations and 20 below the mean; below, e ** -rate is far from underflow.
+FROM_ZERO = 500
+
+
+def log_factorial(n: Column) -> Column:
+    """Stirling's series; exact to double precision for the numbers from which sums start."""
+    return n * F.log(n) - n + F.log(2 * math.pi * n) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n)
+
+
 def poisson_inverse(u: Column, rate: Column) -> Column:
     """The least k whose Poisson distribution function reaches u.
 
-    The sum runs to twelve deviations beyond the mean and 20 more, past which nothing is left in double precision.
+    The sum runs from 12 deviations and 20 below the mean, or from 0, to as far beyond it; past both ends nothing is left
+    in double precision.
     """
-    most = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
+    spread = 12 * F.sqrt(rate) + 20
+    low = F.when(rate > FROM_ZERO, F.floor(rate - spread)).otherwise(0).cast("int")
+    first = F.when(low > 0, F.exp(low * F.log(rate) - rate - log_factorial(low.cast("double")))).otherwise(F.exp(-rate))
+    start = F.struct(first.alias("p"), first.alias("cdf"), low.alias("k"))
 
     def step(acc: Column, i: Column) -> Column:
         p = acc["p"] * rate / i
         return F.when(acc["cdf"] >= u, acc).otherwise(F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), (acc["k"] + 1).alias("k")))
 
-    return F.aggregate(F.sequence(F.lit(1), most), start, step, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(low + 1, F.ceil(rate + spread).cast("int")), start, step, lambda acc: acc["k"])
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", text_col: str = "text", temperature: float = TEMPERATURE, epochs: float = 1.0) -> DataFrame:
@@ -71,7 +85,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str
     """
     rates = repetition_rates(docs, weights, source_col, text_col, temperature, epochs)
     rows = docs.drop("copy", "copies", "rate", "mix_key")
-    rated = rows.join(rates.select(F.col("source").alias("_source"), "rate"), rows[source_col].eqNullSafe(F.col("_source"))).drop("_source")
+    (key,) = fresh(rows, "source")
+    rated = rows.join(rates.select(F.col("source").alias(key), "rate"), rows[source_col].eqNullSafe(F.col(key))).drop(key)
     drawn = rated.withColumn("copies", poisson_inverse(uniform(F.lit(seed), F.col(id_col)), F.col("rate")))
     copies = drawn.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     keyed = copies.withColumn("mix_key", uniform(F.lit(seed), F.col(id_col), F.col("copy")))

@@ -103,7 +103,7 @@ ORACLES = {
         terms AS (
             SELECT source, k, sum(CASE WHEN rate = 0 THEN CASE WHEN k = 0 THEN 1.0 ELSE 0.0 END ELSE exp(k * ln(rate) - rate - lgamma(k + 1)) END)
                    OVER (PARTITION BY source ORDER BY k) AS cdf
-            FROM (SELECT source, nullif(rate, 0) AS r, rate, unnest(range(0, 200)) AS k FROM rates)
+            FROM (SELECT source, rate, unnest(range(0, (ceil(rate + 12 * sqrt(rate)) + 21)::BIGINT)) AS k FROM rates)
         ),
         cdfs AS (SELECT source, list(cdf ORDER BY k) AS cdf FROM terms GROUP BY source),
         drawn AS (

@@ -1,6 +1,7 @@
 import hashlib
 import math
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -20,6 +21,36 @@ def brute(u, rate):
     return k
 
 
+def test_large_rates_against_brute_force(spark):
+    def exact(u, rate):
+        """Sums the distribution function from the top and the bottom in exact fractions of its largest term."""
+        mode = int(rate)
+        term, low, high = Fraction(1), [Fraction(1)], []
+        for k in range(mode, max(0, mode - 40 * int(rate**0.5)), -1):
+            term = term * k / Fraction(rate)
+            low.append(term := Fraction(float(term)))
+        term = Fraction(1)
+        for k in range(mode + 1, mode + 40 * int(rate**0.5)):
+            high.append(term := Fraction(float(term * Fraction(rate) / k)))
+        weights, total, k = low[::-1] + high, Fraction(0), mode - len(low) + 1
+        whole = sum(weights)
+        for w in weights:
+            total += w
+            if total / whole >= Fraction(u):
+                return k
+            k += 1
+
+    cases = [(u, r) for r in (499.5, 500.5, 800.0, 5000.0) for u in (1e-6, 0.01, 0.2, 0.5, 0.93, 0.99999)]
+    got = spark.createDataFrame(cases, "u double, r double").select("u", "r", poisson_inverse(F.col("u"), F.col("r")).alias("k")).collect()
+    assert [(x.u, x.r, x.k) for x in got] == [(u, r, exact(u, r)) for u, r in cases]
+
+
+def test_columns_of_clashing_names_are_carried(spark):
+    df = spark.createDataFrame([(i, "t", "s", i, -i, "u") for i in range(40)], "doc_id long, text string, source string, _source long, Source_ long, key string")
+    got = mixed(df).collect()
+    assert got and all((r["_source"], r["Source_"], r["key"]) == (r.doc_id, -r.doc_id, "u") for r in got)
+
+
 def test_inverse_against_brute_force(spark):
     cases = [(u, r) for r in (0.0, 0.01, 0.4, 1.0, 3.7, 40.0) for u in (1e-9, 0.1, 0.3678, 0.37, 0.5, 0.9, 0.999999)]
     got = spark.createDataFrame(cases, "u double, r double").select("u", "r", poisson_inverse(F.col("u"), F.col("r")).alias("k")).collect()
