@@ -3,7 +3,8 @@
 Texts are reduced to lower-case words joined by single spaces.  Phrases are looked up as whole words.  A notice with at
 most k edits is cut into k + 1 pieces, of which every occurrence must hold one unchanged (pigeonhole); the pieces of all
 notices form one Aho-Corasick automaton.  Around each piece that it meets, the regex library's bounded-error matching
-verifies the notice and gives the span and its edits.  One pass, no shuffle; a task holds one batch of texts.
+verifies the notice; the match is widened or narrowed to whole words, which must match with no more edits, and gives the
+span and its edits.  One pass, no shuffle; a task holds one batch of texts.
 
 Defined results for odd input
 * null text counts as empty: no words, no places, null positions, empty labels, score 0;
@@ -72,7 +73,7 @@ class NoticeFinder:
         import regex
 
         self.notices = [(n, label, edits_allowed(n)) for n, label in notices]
-        self.patterns = [regex.compile(f"(?e)(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}") for n, _, k in self.notices]
+        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}") for n, _, k in self.notices]
         found: dict[str, list[tuple[int, int]]] = {}
         for i, (n, _, k) in enumerate(self.notices):
             for at, piece in seeds(n, k):
@@ -98,14 +99,32 @@ class NoticeFinder:
         out = []
         for i, mine in windows.items():
             for low, high in mine:
-                for m in self.patterns[i].finditer(text, low, high):
-                    a, b = m.span()
-                    # whole words only: a match may not begin or end inside one, but for its own edits
-                    if text[a - 1 : a] in ("", " ") or text[a] == " ":
-                        out.append((self.notices[i][1], a, b, sum(m.fuzzy_counts)))
+                at = low
+                while m := self.patterns[i].search(text, at, high):
+                    found = [(sum(x.fuzzy_counts), a - b, a, b) for a, b in whole_words(text, *m.span()) if (x := self.patterns[i].fullmatch(text, a, b))]
+                    if found:
+                        edits, _, a, b = min(found)
+                        out.append((self.notices[i][1], a, b, edits))
+                        at = max(b, m.start() + 1)
+                    else:
+                        at = m.start() + 1
         return sorted(set(out), key=lambda x: (x[1], x[2], x[0]))
 
 
+def whole_words(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Spans of whole words about [a, b): a word that an end lies in is wholly in or out.  No span begins or ends blank."""
+    while a < b and text[a] == " ":
+        a += 1
+    while b > a and text[b - 1] == " ":
+        b -= 1
+    if a == b:
+        return []
+    first, last = text.rfind(" ", 0, a) + 1, (text.find(" ", b) + 1 or len(text) + 1) - 1
+    starts = {first} | ({text.find(" ", a) + 1} if first < a else set())
+    ends = {last} | ({text.rfind(" ", 0, b)} if last > b else set())
+    return [(x, y) for x in starts for y in ends if x < y]
+
+
 def places(text: str, phrase: str) -> list[int]:
     """Character offsets at which the phrase's words stand consecutively."""
     found, at, needle = [], 0, f" {phrase} "

@@ -61,6 +61,34 @@ def test_no_notice_within_its_edits_is_lost(seed):
                 assert min(distance(part, n) for n, x in NOTICES if x == s["label"]) <= s["edits"]
 
 
+def best_words(text, notice):
+    """The least distance of the notice to a run of whole words."""
+    words = text.split()
+    return min((distance(" ".join(words[i:j]), notice) for i in range(len(words)) for j in range(i + 1, min(len(words), i + len(notice.split()) + 4) + 1)), default=99)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_labels_against_brute_force(seed):
+    rng, finder = random.Random(seed), NoticeFinder()
+    short = [(n, label) for n, label in NOTICES if len(n) < 40]
+    texts = ["all rights reservedness", "licensed under cc bypass", "\u00a9all rights reserved", "x all rights reservedy", "small rights reserved", "all  rights, reserved"]
+    for _ in range(25):
+        notice = list(rng.choice(short)[0])
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(notice))
+            notice[at : at + rng.randint(0, 1)] = rng.choice(["", "q", " ", "zz"])
+        texts.append(rng.choice(["", "pre ", "pre"]) + "".join(notice) + rng.choice(["", " post", "post"]))
+    for text in texts:
+        row = scan(text, finder)
+        want = {label for n, label in NOTICES if best_words(reduced(text), n) <= edits_allowed(n)}
+        assert set(filter(None, row["labels"].split(","))) - set(row["base_labels"].split(",")) <= want, text  # no false label
+        assert want <= set(row["labels"].split(",")), text
+        for s in row["spans"]:
+            part = reduced(text)[s["first_char"] + 1 : s["end_char"] + 1]
+            assert part == part.strip() and min(distance(part, n) for n, x in NOTICES if x == s["label"]) <= s["edits"]
+            assert reduced(text)[s["first_char"]] == " " == reduced(text)[s["end_char"] + 1]
+
+
 def test_pieces_keep_the_pigeonhole():
     for notice, _ in NOTICES:
         k = edits_allowed(notice)
