@@ -1,9 +1,11 @@
 """Packing token sequences by minimum bin slack.
 
 A document's tokens are cut into full pieces of the capacity and one remainder.  Full pieces are sequences of their own.
-Remainders go to cells by the hash of their ids; in a cell every sequence is filled from the multiset of the remaining
+Pieces go to cells by the hash of their row's number, so copies of a document, rows of one id or without any, are dealt
+apart; in a cell every sequence is filled from the multiset of the remaining
 lengths: the longest piece opens it, then a bitset subset-sum dynamic programme over the remaining lengths finds the
-filling closest to capacity, and backtracking gives how often each length is taken.  A cell leaves at most one sequence
+filling closest to capacity, and backtracking gives how often each length is taken; pieces of one length are taken in the
+order of the input.  A cell leaves at most one sequence
 that could not be filled for want of pieces.
 
 Tokens are those of a public tokenizer's vocabulary file; white space parts its words, so that ids are looked up word by
@@ -11,7 +13,7 @@ word, and each distinct word of a task is encoded once.
 
 Defined results for odd input
 * null text counts as empty: one piece that holds the end id alone;
-* a null id is carried through; its rows share the cell of null; repeated rows are packed each for itself;
+* a null id is carried through; repeated rows are packed each for itself;
 * very long texts are cut at the capacity; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -20,7 +22,9 @@ from __future__ import annotations
 import functools
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -97,10 +101,28 @@ MARKS = frozenset(".,;:!?|")
 BLANKS = "\t\n\v\f\r"
 
 
+class PlainIds:
+    """Ids of whole texts, for tokenizers that are not made word by word."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+#: Texts on which both ways must agree before a vocabulary file is read word by word.
+PROBES = ("", " ", "a b", "The Word, it's. END!", "x\ty\n\nz \u00e9t\u00e9 \u00c9T\u00c9", "don't 12,5 (no) a.b...c?", "\u65e5\u672c\u8a9e \u0391\u03a3", "<|endoftext|>a <b>", "word word, word; Word: WORD|")
+
+
 @functools.lru_cache(maxsize=1)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str) -> WordIds | PlainIds:
     """One for each Python worker, which serves many tasks."""
-    return WordIds(path)
+    words = WordIds(path)
+    return words if all(words.agrees(t) for t in PROBES) else PlainIds(path)
 
 
 def fill(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
@@ -135,46 +157,67 @@ def fill(counts: dict[int, int], capacity: int) -> list[tuple[int, int]]:
     return list(taken.items())
 
 
-def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece; sequences count from 0."""
-    order = np.argsort(-lengths, kind="stable")
+def pack_lengths(lengths: np.ndarray, capacity: int, content: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of each piece; sequences count from 0.
+
+    Of equally close fillings one that takes no content twice is preferred, or where a length has more pieces than sequences
+    are left, one that takes its even share of them.  Pieces of one length go in the order of the input, but for those that
+    the sequence holds already.
+    """
+    content = np.arange(len(lengths)) if content is None else content
     stacks: dict[int, list[int]] = {}
-    for i in order[::-1]:
-        stacks.setdefault(int(lengths[i]), []).append(int(i))
+    kinds: dict[int, Counter] = {}
+    for i in range(len(lengths) - 1, -1, -1):
+        stacks.setdefault(int(lengths[i]), []).append(i)
+        kinds.setdefault(int(lengths[i]), Counter())[content[i]] += 1
     counts = {length: len(s) for length, s in stacks.items()}
-    sequence, offset, now = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0
+    distinct = {length: len(k) for length, k in kinds.items()}
+    sequence, offset, now, rest = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0, int(lengths.sum())
     while counts:
-        at = 0
-        for length, n in fill(counts, capacity):
+        at, inside, left = 0, set(), -(-rest // capacity)
+        some = distinct if max(counts.values()) <= left else {length: max(n, -(-counts[length] // left)) for length, n in distinct.items()}
+        taken = fill(some, capacity)
+        if (used := sum(length * n for length, n in taken)) < capacity and some != counts:
+            closer = fill(counts, capacity)
+            taken = closer if sum(length * n for length, n in closer) > used else taken
+        for length, n in taken:
+            stack, kind = stacks[length], kinds[length]
             for _ in range(n):
-                i = stacks[length].pop()
+                top = len(stack) - 1
+                new = any(c not in inside for c in islice(kind, len(inside) + 1))
+                i = stack.pop(next(j for j in range(top, -1, -1) if content[stack[j]] not in inside) if new else top)
+                inside.add(content[i])
+                kind[content[i]] -= 1
+                if not kind[content[i]]:
+                    del kind[content[i]]
                 sequence[i], offset[i] = now, at
                 at += length
-            counts[length] -= n
-            if not counts[length]:
-                del counts[length]
-        now += 1
+            counts[length], distinct[length] = len(stack), len(kind)
+            if not stack:
+                del counts[length], distinct[length]
+        now, rest = now + 1, rest - at
     return sequence, offset
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, start, length, ids_crc32, doc_tokens`` of every piece: full ones, then the remainder."""
+    """``doc_id, start, length, ids_crc32, doc_tokens`` of every piece, full ones, then the remainder, and ``row``, a number
+    of the input row that follows the order of the input."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out: list[list] = [[], [], [], [], [], []]
+            for doc_id, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = words.encode(text or "") + end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
-                    for column, value in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n), strict=True):
+                    for column, value in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n, row), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"), F.monotonically_increasing_id().alias("row")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
 
 def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, cell_docs: int = CELL_DOCS) -> DataFrame:
@@ -185,12 +228,12 @@ def packed(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     cells = pieces(docs.count(), cell_docs)
 
     def in_cell(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", na_position="last", ignore_index=True)
-        sequence, offset = pack_lengths(frame["length"].to_numpy(), capacity)
+        frame = frame.sort_values(["row", "start"], kind="stable", ignore_index=True)
+        sequence, offset = pack_lengths(frame["length"].to_numpy(), capacity, frame["ids_crc32"].to_numpy())
         frame["sequence_id"] = sequence + (int(key[0]) << 32)
         frame["offset"] = offset
         return frame[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     rows = token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id)
-    cell = F.pmod(F.xxhash64(F.lit("cell"), "doc_id"), F.lit(cells))
+    cell = F.pmod(F.xxhash64(F.lit("cell"), "row"), F.lit(cells))
     return rows.groupBy(cell.alias("cell")).applyInPandas(in_cell, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

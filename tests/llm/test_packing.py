@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ledgerline.llm.packing import WordIds, fill, pack_lengths, packed
+from ledgerline.llm.packing import PROBES, PlainIds, WordIds, fill, pack_lengths, packed, word_ids
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
 SCHEMA = "doc_id long, text string, start string, cell int"
@@ -76,3 +76,26 @@ def test_round_trip(spark):
             at += length
         assert at <= 2048
     assert packed(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_copies_are_dealt_apart(spark):
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice("the of and to in".split()) for _ in range(rng.randint(20, 120)))) for i in range(400)]
+    rows = [d for d in docs for _ in range(3)] + [(None, "no id")] * 300
+    rng.shuffle(rows)
+    got = packed(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA), PATH, cell_docs=200).collect()
+    rooms, cells = defaultdict(list), defaultdict(int)
+    for r in got:
+        rooms[r.sequence_id].append(r.doc_id)
+        cells[r.sequence_id >> 32] += r.doc_id is None
+    together = sum(len(ids) - len(set(ids)) for ids in ([i for i in room if i is not None] for room in rooms.values()))
+    assert together < 0.08 * 1200 and max(cells.values()) < 120  # chance alone puts a few together
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_other_tokenizers_read_whole_texts(name):
+    path = str(public_tokenizers.path(name))
+    ids, whole = word_ids(path), Tokenizer.from_file(path)
+    assert isinstance(ids, WordIds if name.startswith("word") else PlainIds)
+    for text in [*PROBES, "Some text, of  two spaces."]:
+        assert ids.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
