@@ -4,7 +4,8 @@
 
 * Text likelihood: byte trigrams under a smoothed multinomial for each language, tempered so that neighbouring trigrams
   of one long text do not count as independent: at most `EFFECTIVE` of them, at the text's mean.  The model is fitted on
-  a bounded sample for every label that occurs (`per_language`, `longest`); all else covers all rows and whole texts.
+  a bounded sample for every label that occurs (`per_language`, `longest`), in two halves: each judges the texts of the
+  other, so that a declaration does not count a second time through the model.  All else covers all rows, whole texts.
 * Declared language (markup attribute or metadata): right with probability `RELIABILITY`, else any other language.
 * Host prior: expected language counts by grouped aggregation of text posteriors over all rows, smoothed hierarchically:
   the host's counts towards its address suffix's prior, that towards the prior of all rows.  A row's own posterior is
@@ -23,6 +24,8 @@ Defined results for odd input
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,13 +34,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import durable
+from ledgerline.llm.common import durable, fresh
 
 BUCKETS = 1 << 16
 EFFECTIVE = 120
 RELIABILITY = 0.9
 STRENGTH = 20.0
 ACCEPT = 0.6
+#: Characters of a text that tell its fold, and that a training text may have.
+LONGEST = 20_000
+#: Languages with fewer training texts are not halved.
+TOO_FEW = 40
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Trigrams of digits, blanks and marks tell nothing about language.
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -46,19 +53,25 @@ LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(25
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # [BUCKETS, languages]: log probabilities
+    tables: list[np.ndarray]  # for each fold [BUCKETS, languages]: log probabilities, fitted without the fold's texts
 
     def likelihood(self, text: str | None) -> np.ndarray:
         """Tempered log likelihoods of a whole text; zeros where it has no letters."""
         x = trigrams(text)
         if not len(x):
             return np.zeros(len(self.languages))
+        table = self.tables[fold_of(text)]
         total = np.zeros(len(self.languages))
         for at in range(0, len(x), 1 << 20):
-            total += self.table[x[at : at + (1 << 20)]].sum(axis=0, dtype=np.float64)
+            total += table[x[at : at + (1 << 20)]].sum(axis=0, dtype=np.float64)
         return total / len(x) * min(len(x), EFFECTIVE)
 
 
+def fold_of(text: str) -> int:
+    """The half that a text belongs to, told by its beginning."""
+    return zlib.crc32(text[:LONGEST].encode("utf-8", "surrogatepass")) & 1
+
+
 def trigrams(text: str | None) -> np.ndarray:
     """Buckets of all byte trigrams that hold two letters at least."""
     b = np.frombuffer((" " + (text or "") + " ").encode("utf-8", "replace").translate(LOWER), np.uint8)
@@ -71,18 +84,27 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, str]]) -> LanguageModel:
-    """From (text, language) pairs: add-half smoothing towards the buckets of all languages together."""
+    """From (text, language) pairs: add-half smoothing towards the buckets of all languages together.
+
+    Each fold's table is fitted on the other fold's texts, so that no text is judged by what its own label has taught;
+    a language with too few texts to be halved (`TOO_FEW`) teaches both.
+    """
     languages = sorted({lang for _, lang in rows})
-    counts = np.zeros((BUCKETS, len(languages)))
+    place = {lang: i for i, lang in enumerate(languages)}
+    counts = np.zeros((2, BUCKETS, len(languages)))
     for text, lang in rows:
-        counts[:, languages.index(lang)] += np.bincount(trigrams(text), minlength=BUCKETS)
-    pooled = (counts.sum(axis=1, keepdims=True) + 0.5) / (counts.sum() + 0.5 * BUCKETS) if languages else counts
-    weight = 2000.0
-    p = (counts + weight * pooled) / (counts.sum(axis=0, keepdims=True) + weight) if languages else counts
-    return LanguageModel(languages, np.log(p).astype(np.float32))
-
-
-def sampled(labelled: DataFrame, text_col: str, label_col: str, per_language: int = 250, longest: int = 20_000) -> list[tuple[str, str]]:
+        counts[1 - fold_of(text), :, place[lang]] += np.bincount(trigrams(text), minlength=BUCKETS)
+    many = Counter(lang for _, lang in rows)
+    few = [place[lang] for lang in languages if many[lang] < TOO_FEW]
+    counts[:, :, few] = counts[:, :, few].sum(axis=0)
+    weight, tables = 2000.0, []
+    for own in counts if languages else []:
+        pooled = (own.sum(axis=1, keepdims=True) + 0.5) / (own.sum() + 0.5 * BUCKETS)
+        tables.append(np.log((own + weight * pooled) / (own.sum(axis=0, keepdims=True) + weight)).astype(np.float32))
+    return LanguageModel(languages, tables)
+
+
+def sampled(labelled: DataFrame, text_col: str, label_col: str, per_language: int = 400, longest: int = LONGEST) -> list[tuple[str, str]]:
     """At most so many distinct texts for each language that occurs, chosen by hash.
 
     Texts of bounded length are taken whole; a language that has too few of them gets the beginnings of its longer ones.
@@ -151,39 +173,38 @@ def identified(rows: DataFrame, model: LanguageModel, text_col: str = "text", de
     blank = F.lit("")
     host = F.coalesce(host, blank) if host is not None else blank
     suffix = F.coalesce(suffix, blank) if suffix is not None else blank
+    said = declared if declared is not None else F.lit(None).cast("string")
     names = F.array(*[F.lit(x) for x in model.languages])
-    score = scorer(model)
     has_letters = F.coalesce(F.col(text_col), blank).rlike("[A-Za-z\\x{80}-\\x{10FFFF}]")
-    seen = rows.filter(has_letters).select(host.alias("host"), suffix.alias("suffix"), score(F.col(text_col))["own"].alias("p"))
-    priors = durable(host_priors(seen, k, strength).select(F.col("host").alias("_host"), F.col("suffix").alias("_suffix"), F.col("n").alias("_n"), F.col("counts").alias("_counts"), F.col("parent").alias("_parent")))
-
-    said = declared if declared is not None else F.lit(None).cast("string")
-    said = F.when(F.array_contains(names, said), said)
-    joined = rows.withColumn("_h", host).withColumn("_x", suffix).withColumn("_said", said).withColumn("_ok", has_letters)
-    joined = joined.join(priors, (F.col("_h") == F.col("_host")) & (F.col("_x") == F.col("_suffix")), "left")
-    scored = joined.withColumn("_score", score(F.col(text_col))).withColumn("_text", F.col("_score")["logs"]).withColumn("_own", F.col("_score")["own"])
+    # the input's columns go by number, so that none can clash with the operator's own
+    carried = {c: f"c{i}" for i, c in enumerate(rows.columns)}
+    text = F.col(carried[text_col])
+    base = rows.select(*[F.col(f"`{c}`").alias(n) for c, n in carried.items()], host.alias("host"), suffix.alias("suffix"), F.when(F.array_contains(names, said), said).alias("said"), has_letters.alias("ok"))
+    score = scorer(model)
+    priors = durable(host_priors(base.filter("ok").select("host", "suffix", score(text)["own"].alias("p")), k, strength))
+    scored = base.join(priors, ["host", "suffix"], "left").withColumn("score", score(text)).withColumn("text", F.col("score")["logs"]).withColumn("own", F.col("score")["own"])
     flat = F.array(*[F.lit(1.0 / k) for _ in range(k)])
-    others = F.zip_with("_counts", "_own", lambda c, o: F.greatest(c - o, F.lit(0.0)))
-    scored = scored.withColumn("_prior", F.when(F.col("_n").isNull(), flat).otherwise(smoothed(others, F.col("_n") - 1, F.col("_parent"), strength)))
-    told = F.transform(names, lambda x: F.when(F.col("_said").isNull(), 0.0).when(x == F.col("_said"), float(np.log(reliability))).otherwise(float(np.log((1 - reliability) / max(1, k - 1)))))
-    scored = scored.withColumn("_told", told).withColumn("_logp", F.transform("_prior", lambda p: F.log(F.greatest(p, F.lit(1e-12)))))
-    scored = scored.withColumn("_post", softmax(F.zip_with(F.zip_with("_text", "_told", lambda a, b: a + b), "_logp", lambda a, b: a + b)))
-    scored = scored.withColumn("_best", F.array_position("_post", F.array_max("_post")).cast("int"))
-    ok = F.col("_ok")
+    others = F.zip_with("counts", "own", lambda c, o: F.greatest(c - o, F.lit(0.0)))
+    scored = scored.withColumn("prior", F.when(F.col("n").isNull(), flat).otherwise(smoothed(others, F.col("n") - 1, F.col("parent"), strength)))
+    told = F.transform(names, lambda x: F.when(F.col("said").isNull(), 0.0).when(x == F.col("said"), float(np.log(reliability))).otherwise(float(np.log((1 - reliability) / max(1, k - 1)))))
+    scored = scored.withColumn("told", told).withColumn("logp", F.transform("prior", lambda p: F.log(F.greatest(p, F.lit(1e-12)))))
+    scored = scored.withColumn("post", softmax(F.zip_with(F.zip_with("text", "told", lambda a, b: a + b), "logp", lambda a, b: a + b)))
+    scored = scored.withColumn("best", F.array_position("post", F.array_max("post")).cast("int"))
+    ok = F.col("ok")
     return scored.select(
-        *[F.col(f"`{c}`") for c in rows.columns],
-        F.when(ok, F.element_at(names, F.col("_best"))).otherwise("und").alias("language"),
-        F.when(ok, F.array_max("_post")).otherwise(0.0).alias("probability"),
-        (ok & (F.array_max("_post") >= accept)).alias("accepted"),
-        F.when(ok, F.element_at(names, F.array_position("_own", F.array_max("_own")).cast("int"))).otherwise("und").alias("text_language"),
-        F.struct(*[F.element_at(c, F.col("_best")).alias(n) for n, c in (("text", "_text"), ("declared", "_told"), ("host", "_logp"))]).alias("evidence"),
+        *[F.col(n).alias(c) for c, n in carried.items()],
+        F.when(ok, F.element_at(names, F.col("best"))).otherwise("und").alias("language"),
+        F.when(ok, F.array_max("post")).otherwise(0.0).alias("probability"),
+        (ok & (F.array_max("post") >= accept)).alias("accepted"),
+        F.when(ok, F.element_at(names, F.array_position("own", F.array_max("own")).cast("int"))).otherwise("und").alias("text_language"),
+        F.struct(*[F.element_at(c, F.col("best")).alias(n) for n, c in (("text", "text"), ("declared", "told"), ("host", "logp"))]).alias("evidence"),
     )
 
 
 def identified_documents(docs: DataFrame, **options) -> DataFrame:
-    """Documents: the source stands for the host, the column ``lang`` is what was declared; the model is fitted on it."""
+    """Documents: the source stands for the host, what follows its last dot for the suffix; ``lang`` is what was declared."""
     model = fit(sampled(docs, "text", "lang"))
-    return identified(docs, model, declared=F.col("lang"), host=F.col("source"), **options)
+    return identified(docs, model, declared=F.col("lang"), host=F.col("source"), suffix=F.regexp_extract("source", r"\.([^./]+)/?$", 1), **options)
 
 
 def identified_pages(pages: DataFrame, model: LanguageModel, html_col: str = "html", url_col: str = "url", **options) -> DataFrame:
@@ -192,4 +213,5 @@ def identified_pages(pages: DataFrame, model: LanguageModel, html_col: str = "ht
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     markup = F.nullif(F.lower(F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2,3})", 1)), F.lit(""))
     text = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", " ")
-    return identified(pages.withColumn("_body", text), model, text_col="_body", declared=markup, host=host, suffix=F.regexp_extract(host, r"([^.]*)$", 1), **options).drop("_body")
+    (body,) = fresh(pages, "body")
+    return identified(pages.withColumn(body, text), model, text_col=body, declared=markup, host=host, suffix=F.regexp_extract(host, r"([^.]*)$", 1), **options).drop(body)

@@ -1,10 +1,12 @@
 import random
+import re
 
+import numpy as np
 import pytest
 
 from ledgerline.llm.language_id import fit, identified, identified_documents, identified_pages, sampled
 
-SCHEMA = "doc_id long, text string, lang string, source string, language string, _text string"
+SCHEMA = "doc_id long, text string, lang string, source string, language string, host string"
 SYLLABLES = {"en": "th er ing on ed st re ion".split(), "fr": "eau ou que ment é les aux ai".split(), "de": "sch ein ung ver ü ß der ich".split()}
 
 
@@ -78,3 +80,57 @@ def test_every_language_is_sampled(spark):
     count = {lang: sum(x == lang for _, x in got) for lang in {x for _, x in got}}
     assert len(set(got)) == len(got) and set(count) == {"en", "de", *(f"l{i:02}" for i in range(70))}
     assert count["en"] == 20 and count["de"] == 3 and all(len(t) <= 20_000 for t, _ in got)
+
+
+def brute(rows, model, reliability=0.9, strength=20.0):
+    """Posteriors straight from the definition, row by row."""
+    k = len(model.languages)
+
+    def soft(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    ok = [bool(re.search("[A-Za-z\x80-\U0010FFFF]", t or "")) for t, _, _, _ in rows]
+    logs = [model.likelihood(t) for t, _, _, _ in rows]
+    own = [soft(x) for x in logs]
+    whole = (sum(o for o, y in zip(own, ok, strict=True) if y) + 1 / k) / (sum(ok) + 1)
+    out = []
+    for i, (_, said, host, suffix) in enumerate(rows):
+        if not ok[i]:
+            out.append(("und", 0.0))
+            continue
+        family = [o for o, y, r in zip(own, ok, rows, strict=True) if y and r[3] == suffix]
+        parent = (sum(family) + strength * whole) / (len(family) + strength)
+        mine = [o for j, (o, y, r) in enumerate(zip(own, ok, rows, strict=True)) if y and r[2:] == (host, suffix) and j != i]
+        prior = (sum(mine, np.zeros(k)) + strength * parent) / (len(mine) + strength)
+        told = np.array([0.0 if said not in model.languages else np.log(reliability if x == said else (1 - reliability) / (k - 1)) for x in model.languages])
+        post = soft(logs[i] + told + np.log(np.maximum(prior, 1e-12)))
+        out.append((model.languages[int(post.argmax())], float(post.max())))
+    return out
+
+
+def test_posteriors_against_brute_force(spark, data):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    model = fit(sampled(spark.createDataFrame(data, SCHEMA), "text", "lang"))
+    rows = [(prose(rng, rng.choice("en fr de".split()), rng.randint(1, 4)) if i % 9 else "12", rng.choice(["en", "fr", "de", "xx", None]), rng.choice(["a.fr", "b.fr", "c.de", ""]), rng.choice(["fr", "de"])) for i in range(120)]
+    df = spark.createDataFrame([(i, *r, "u", i) for i, r in enumerate(rows)], "id long, text string, d string, h string, s string, _n string, post long")
+    got = identified(df, model, declared=F.col("d"), host=F.col("h"), suffix=F.col("s")).orderBy("id").collect()
+    want = brute(rows, model)
+    assert [r.language for r in got] == [x for x, _ in want]
+    assert all(abs(r.probability - p) < 1e-6 for r, (_, p) in zip(got, want, strict=True))
+
+
+def test_columns_of_clashing_names_are_carried(spark, data):
+    names = "_text _n _host _counts _suffix host suffix n counts parent c0 c1 said ok score text_".split()
+    df = spark.createDataFrame([(*r[:4], *(f"{c}{i}" for c in names)) for i, r in enumerate(data[:60])], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
+    got = identified_documents(df).collect()
+    assert len(got) == 60 and all(r[c] == f"{c}{r.doc_id}" for r in got for c in names)
+
+
+def test_no_text_is_judged_by_its_own_label(spark):
+    rng = random.Random(6)
+    rows = [(prose(rng, lang, 30), lang) for lang in ("en", "fr") for _ in range(60)]
+    plain, wrong = fit(rows), fit([(t, "fr" if i == 3 else lang) for i, (t, lang) in enumerate(rows)])
+    assert (plain.likelihood(rows[3][0]) == wrong.likelihood(rows[3][0])).all()
