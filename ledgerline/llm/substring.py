@@ -10,8 +10,9 @@
    touch merge into maximal intervals of words to remove.
 
 Places are ordered by document id, then start, so the earliest occurrence of every passage stays.  The bucket's number
-comes from other bits than the hash kept in it: two windows are taken for equal if 64 bits and the bucket agree.  With
-buckets of about a million windows that makes n * 3e-14 wrong repeats among n windows, under one at 100 TB.
+comes from the second hash of a window, the first is kept in it: two windows are taken for equal if 64 bits and the
+bucket agree.  With buckets of about a million windows that makes n * 3e-14 wrong repeats among n windows, under one at
+100 TB.
 
 Defined results for odd input
 * null text counts as no words; texts shorter than the window lose nothing; very long texts are read whole;
@@ -62,28 +63,33 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-INVERSE = pow(BASE, -1, 1 << 64)
+BASE_2 = 0xD6E8FEB86659FD93
+INVERSE, INVERSE_2 = pow(BASE, -1, 1 << 64), pow(BASE_2, -1, 1 << 64)
 
 
-def window_hashes(words: list[bytes], window: int, memory: dict) -> np.ndarray:
-    """Rabin-Karp hashes modulo 2**64 of all windows, scrambled so that every bit depends on all of them."""
+def window_hashes(words: list[bytes], window: int, memory: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Two Rabin-Karp hashes modulo 2**64 of all windows, scrambled so that every bit depends on all of them.
+
+    The second comes from other hashes of the words and another base; windows that collide in one are apart in the other.
+    """
     n = len(words) - window + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h = np.fromiter(map(memory.__getitem__, words), np.uint64, len(words))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * powers(len(words), BASE), dtype=np.uint64)))
-    x = (sums[window:] - sums[:-window]) * powers(n, INVERSE)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(29)
-    return x
+    other = (h ^ h >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    other ^= other >> np.uint64(29)
+    out = []
+    for x, base, inverse in ((h, BASE, INVERSE), (other, BASE_2, INVERSE_2)):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * powers(len(words), base), dtype=np.uint64)))
+        y = (sums[window:] - sums[:-window]) * powers(n, inverse)
+        y ^= y >> np.uint64(33)
+        y *= np.uint64(0xFF51AFD7ED558CCD)
+        out.append(y ^ y >> np.uint64(29))
+    return out[0], out[1]
 
 
-def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """From a second scrambling, so that it tells more than the hash's own bits do."""
-    y = (hashes ^ np.uint64(0xA0761D6478BD642F)) * np.uint64(0xE7037ED1A0B428DB)
-    y ^= y >> np.uint64(32)
-    return (y % np.uint64(buckets)).astype(np.int64)
+def bucket_of(second: np.ndarray, buckets: int) -> np.ndarray:
+    return ((second >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -178,38 +184,40 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = word_hashes()
-        held: list[tuple[int, int, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
         size = 0
 
         def passed_on() -> pa.RecordBatch:
             held.sort(key=lambda x: x[:2])
             n = [len(x[2]) for x in held]
             hashes = np.concatenate([x[2] for x in held])
+            second = np.concatenate([x[3] for x in held])
             doc = np.repeat(np.array([x[0] for x in held], np.int64), n)
             tag = np.repeat(np.array([x[1] for x in held], np.uint64), n)
             start = np.concatenate([np.arange(k) for k in n])
             order = np.argsort(hashes, kind="stable")
             new = np.ones(len(order), bool)
-            new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+            new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
             lead = order[new][np.cumsum(new) - 1]  # the first place of each one's hash
             later = (doc[order] > doc[lead]) | (doc[order] == doc[lead]) & (start[order] > start[lead])
             out = [(-1 - block, blob, b"") for block, blob in by_block(doc[order[later]], tag[order[later]], start[order[later]], blocks)]
             keep = np.sort(order[~later])
-            bucket = bucket_of(hashes[keep], buckets)
+            bucket = bucket_of(second[keep], buckets)
             # places of rows under one id run into each other only where ids repeat
-            keep = keep[np.lexsort((start[keep], tag[keep], doc[keep], bucket)) if tagged else np.argsort(bucket, kind="stable")]
-            cuts = np.cumsum(np.bincount(bucket, minlength=buckets)) if len(keep) else []
-            for b, (a, z) in enumerate(zip([0, *cuts[:-1]], cuts, strict=True)):
+            by = np.lexsort((start[keep], tag[keep], doc[keep], bucket)) if tagged else np.argsort(bucket, kind="stable")
+            keep, bucket = keep[by], bucket[by]
+            cuts = (np.flatnonzero(np.diff(bucket)) + 1).tolist() if len(keep) else []
+            for a, z in zip([0, *cuts], [*cuts, len(keep)], strict=True):  # the buckets that occur, however many there are
                 if z > a:
                     mine = keep[a:z]
-                    out.append((b, seal(doc[mine], tag[mine], start[mine]), hashes[mine].tobytes()))
+                    out.append((int(bucket[a]), seal(doc[mine], tag[mine], start[mine]), hashes[mine].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "places", "hashes"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = window_hashes(text.split(), window, memory)
+                h, second = window_hashes(text.split(), window, memory)
                 if len(h):
-                    held.append((NO_ID if doc_id is None else doc_id, text_tag(text) if tagged else 0, h))
+                    held.append((NO_ID if doc_id is None else doc_id, text_tag(text) if tagged else 0, h, second))
                     size += len(h)
                 if size >= gather:
                     yield passed_on()
@@ -271,7 +279,11 @@ def repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept", "removed"])
 
     body = source.select("doc_id", F.col("body").cast("binary").alias("body"))
-    found = body.mapInArrow(places, "bucket long, places binary, hashes binary").groupBy("bucket").applyInPandas(repeats, "block long, places binary")
+    # a task takes a few buckets or blocks, however large the corpus is
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    windows = body.mapInArrow(places, "bucket long, places binary, hashes binary").repartition(max(least, pieces(buckets, 4)), "bucket")
+    found = windows.groupBy("bucket").applyInPandas(repeats, "block long, places binary")
     texts = body.mapInArrow(closed, "block long, doc_id long, body binary")
-    done = texts.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(remaining, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:long,end:long>>")
+    parts = max(least, pieces(blocks, 8))
+    done = texts.repartition(parts, "block").groupBy("block").cogroup(found.repartition(parts, "block").groupBy("block")).applyInPandas(remaining, "doc_id long, n_words long, n_removed long, kept string, removed array<struct<first:long,end:long>>")
     return done.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(int(NO_ID))))
