@@ -1,31 +1,41 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Groups (equal texts) are the items.  A group larger than a share of a shard is dealt into parts by the hash of its ids.
-Items go to cells by hash; each cell packs its items into as many bins as there are shards, placing every item where the
-dot product of its vector with the bin's residual capacity is highest.  One small task then places the bins of all cells
-over the shards by the same rule.  Slots follow from counts, so nothing is sorted or numbered over the whole table.
+Groups (equal texts) are the items: they are summed up first, and only their sums are packed.  A group stays in one shard
+unless it alone holds more than an equal part of all bytes or rows; then it is dealt into parts of a sixteenth of a shard,
+by the hash of its ids, so that they fill what the others leave.  Items go to cells by hash; each cell packs its items into as many bins as there are shards, or a multiple,
+placing every item where the dot product of its vector with the bin's residual capacity is highest.  The bins of several
+cells are then items of one cell of the next level, up to one cell, whose bins are the shards; so no task sees more than a
+fixed number of items.  Slots follow from counts per shard and salt, so no shard is sorted or numbered as a whole.
 
-Law ``bytes``: sizes are near equal.  A cell holds a bounded number of rows; the last task holds cells x shards rows.
+Law ``bytes``: sizes are near equal.
 
 Defined results for odd input
 * null text counts as no bytes and no tokens (its size is the fixed part alone) and is grouped with the empty text;
-* a null id is placed like any other and comes last among the ids of its group; repeated rows are rows of their own;
+* a null id is placed like any other; repeated rows are rows of their own;
 * an empty table gives an empty result; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import durable, pieces
 
-#: Rows of a cell, about.
-CELL_ROWS = 8192
-#: A group larger than this share of a shard is dealt into parts.
-PART_OF_SHARD = 1 / 16
+#: Items of a cell, about.
+CELL_ITEMS = 8192
+#: Parts of a shard into which a group beyond a shard is dealt.
+PARTS = 16
+#: Cells whose bins make one cell of the next level.
+FAN = 32
+#: Rows of a shard that are numbered together, about.
+NUMBERED = 100_000
+#: Items of more rows than this, and than a 50,000th of all, find their rows by a broadcast of at most so many items.
+CROWD_ROWS, MOST_CROWDS = 4096, 50_000
 #: Bytes that each row adds to its text.
 ROW_BYTES = 16
 
@@ -47,76 +57,130 @@ def pack(vectors: np.ndarray, bins: int) -> np.ndarray:
     return out
 
 
-def shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``, and ``tokens`` and ``part``."""
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+"))
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        (F.octet_length(body).cast("long") + ROW_BYTES).alias("size"),
-        words.cast("long").alias("tokens"),
-        F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.unhex(F.md5(body.cast("binary"))).alias("group"),
-    )
-    rows = durable(rows)
-    n, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    most_bytes, most_rows = max(1, int(total / n_shards * PART_OF_SHARD)), max(1, int(n / n_shards * PART_OF_SHARD))
-    groups = rows.groupBy("group").agg(F.sum("size").alias("g_size"), F.count(F.lit(1)).alias("g_rows"))
-    parts = F.ceil(F.greatest(F.col("g_size") / most_bytes, F.col("g_rows") / most_rows)).cast("long")
-    # Every such group takes 1 / (16 x shards) of all bytes or rows at least, so there are at most 32 x shards of them.
-    large = groups.filter(F.greatest(F.col("g_size") / most_bytes, F.col("g_rows") / most_rows) > 1).select("group", parts.alias("parts"))
-    cells = pieces(n, cell_rows)
-    dealt = (
-        rows.join(F.broadcast(large), "group", "left")
-        .withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.coalesce("parts", F.lit(1)))))
-        .withColumn("cell", F.pmod(F.xxhash64("group", "part"), F.lit(cells)))
-        .drop("parts")
-    )
-
-    def in_cell(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["group", "part", "doc_id", "size"], kind="stable", na_position="last", ignore_index=True)
-        new = (frame["group"] != frame["group"].shift()) | (frame["part"] != frame["part"].shift())
-        item = new.cumsum().to_numpy() - 1
-        vectors = np.zeros((item[-1] + 1, 3))
-        for d, values in enumerate((frame["size"], frame["tokens"], np.ones(len(frame)))):
-            np.add.at(vectors[:, d], item, np.asarray(values, dtype=float))
-        frame["bin"] = pack(vectors, n_shards)[item]
-        frame["rank"] = frame.groupby("bin").cumcount()
-        return frame[["doc_id", "size", "tokens", "text_crc32", "part", "cell", "bin", "rank"]]
-
-    binned = durable(dealt.groupBy("cell").applyInPandas(in_cell, "doc_id long, size long, tokens long, text_crc32 long, part long, cell long, bin int, rank long"))
-    sums = binned.groupBy("cell", "bin").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r"))
-
-    def over_shards(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["cell", "bin"], ignore_index=True)
-        frame["shard"] = place(frame[["b", "t", "r"]].to_numpy(dtype=float), n_shards)
-        frame["base"] = frame.groupby("shard")["r"].cumsum() - frame["r"]
-        return frame[["cell", "bin", "shard", "base"]]
-
-    placed = sums.groupBy().applyInPandas(over_shards, "cell long, bin int, shard int, base long")
-    return binned.join(placed, ["cell", "bin"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens", "part")
+#: By how much of the mean the tokens and rows of a bin may grow while bytes are evened: bytes are the law, so the last
+#: steps are free, but only where bins are still this far from the mean.
+SLACKS = (0.05, 0.25, np.inf)
+NEAR = 0.01
+#: Items of a bin that are tried in one step of evening.
+PAIRS = 512
 
 
 def place(vectors: np.ndarray, bins: int) -> np.ndarray:
-    """`pack`, then items move or change places between the largest and the smallest bin while that evens their bytes."""
+    """`pack`, then items move or change places between the largest bin and smaller ones while that evens their bytes.
+
+    A step must not bring the tokens or rows of either bin beyond what the larger of both holds, or the mean and a slack;
+    slacks widen while bytes are not nearly equal.
+    """
     out = pack(vectors, bins)
-    size = np.bincount(out, weights=vectors[:, 0], minlength=bins) if len(out) else np.zeros(bins)
-    for _ in range(8 * bins):
-        high, low = int(size.argmax()), int(size.argmin())
-        gap = size[high] - size[low]
-        mine, theirs = np.flatnonzero(out == high), np.flatnonzero(out == low)
+    sums = np.zeros((bins, vectors.shape[1]))
+    np.add.at(sums, out, vectors)
+    mean = sums.mean(axis=0)
+
+    def step(high: int, low: int, slack: float) -> bool:
+        gap = sums[high, 0] - sums[low, 0]
+        mine, theirs = np.flatnonzero(out == high)[:PAIRS], np.flatnonzero(out == low)[:PAIRS]
         if gap <= 1 or not len(mine):
-            break
+            return False
         # moving bytes x from high to low helps where 0 < x < gap; the best x is gap / 2
-        choice = np.concatenate(([0.0], vectors[theirs, 0]))
-        steps = vectors[mine, 0][:, None] - choice[None, :]
-        score = np.where((steps > 0) & (steps < gap), np.abs(steps - gap / 2), np.inf)
+        choice = np.concatenate((np.zeros((1, vectors.shape[1])), vectors[theirs]))
+        moved = vectors[mine][:, None] - choice[None, :]
+        most = np.maximum(mean + mean * slack if slack < np.inf else np.inf, np.maximum(sums[high], sums[low]))
+        fits = ((sums[high] - moved <= most) & (sums[low] + moved <= most))[:, :, 1:].all(axis=2)
+        x = moved[:, :, 0]
+        score = np.where((x > 0) & (x < gap) & fits, np.abs(x - gap / 2), np.inf)
         i, j = np.unravel_index(int(score.argmin()), score.shape)
         if not np.isfinite(score[i, j]):
-            break
+            return False
         out[mine[i]] = low
         if j:
             out[theirs[j - 1]] = high
-        size[high] -= steps[i, j]
-        size[low] += steps[i, j]
+        sums[high] -= moved[i, j]
+        sums[low] += moved[i, j]
+        return True
+
+    for slack in SLACKS:
+        for _ in range(8 * bins):
+            high = int(sums[:, 0].argmax())
+            if slack > SLACKS[0] and np.abs(sums[:, 0] - mean[0]).max() <= NEAR * mean[0]:
+                return out
+            if not any(step(high, int(low), slack) for low in np.argsort(sums[:, 0], kind="stable") if low != high):
+                break
     return out
+
+
+def in_cells(items: DataFrame, cell: Column, n_shards: int, rule: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
+    """``cell, of`` of each item, the cell ``up`` and ``bin`` in which it is put, and the sums ``b, t, r`` that it brings."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["cell", "of"], ignore_index=True)
+        frame["bin"] = rule(frame[["b", "t", "r"]].to_numpy(dtype=float), n_shards)
+        return frame[["cell", "of", "up", "bin", "b", "t", "r"]]
+
+    return items.withColumn("up", cell).groupBy("up").applyInPandas(run, "cell long, of long, up long, bin long, b long, t long, r long")
+
+
+def placements(items: DataFrame, totals: tuple[float, float, float], n_shards: int, cell_items: int = CELL_ITEMS, fan: int = FAN) -> DataFrame:
+    """``group, part, shard, r`` of items ``group, part, b, t, r``, level by level.
+
+    Items beyond a sixteenth of a shard, of which there are at most 3 x 16 a shard, wait for the last level.
+    """
+    items = durable(items.withColumn("of", F.monotonically_increasing_id()))
+    n = items.count()
+    cells = pieces(n, cell_items)
+    big = F.greatest(*[F.col(c) * float(n_shards * PARTS) / max(x, 1.0) for c, x in zip("btr", totals, strict=True)]) > 1
+    numbers = items.select(F.when(big, F.lit(-1)).otherwise(F.pmod(F.xxhash64("group", "part"), F.lit(cells))).cast("long").alias("cell"), "of", "b", "t", "r")
+    levels, now = [], numbers
+    if cells > 1:
+        # few cells have more bins, so that the last level has many to choose from
+        now = durable(in_cells(numbers.filter("cell >= 0"), F.col("cell"), n_shards * max(1, fan // cells), pack))
+        levels.append(now)
+        while cells > fan:
+            sums = now.groupBy(F.col("up").alias("cell"), F.col("bin").alias("of")).agg(*[F.sum(c).alias(c) for c in "btr"])
+            now = durable(in_cells(sums, F.floor(F.col("cell") / fan), n_shards, pack))
+            levels.append(now)
+            cells = pieces(cells, fan)
+        now = now.groupBy(F.col("up").alias("cell"), F.col("bin").alias("of")).agg(*[F.sum(c).alias(c) for c in "btr"]).union(numbers.filter("cell < 0"))
+    chain = durable(in_cells(now, F.lit(0).cast("long"), n_shards, place)).select("cell", "of", F.col("bin").cast("int").alias("shard"))
+    large = chain.filter("cell < 0") if levels else None
+    for level in reversed(levels):
+        ahead = chain.select(F.col("cell").alias("up"), F.col("of").alias("bin"), "shard")
+        chain = level.select("cell", "of", "up", "bin").join(ahead, ["up", "bin"]).select("cell", "of", "shard")
+    if large is not None:
+        chain = chain.union(large)
+    return items.join(chain.select("of", "shard"), "of").select("group", "part", "shard", "r")
+
+
+def shards(docs: DataFrame, n_shards: int = 40, id_col: str = "doc_id", text_col: str = "text", cell_items: int = CELL_ITEMS, fan: int = FAN, numbered: int = NUMBERED) -> DataFrame:
+    """One row per input row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard``, and ``tokens`` and ``part``."""
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    words = F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+"))
+    rows = durable(
+        docs.select(
+            F.col(id_col).cast("long").alias("doc_id"),
+            (F.octet_length(body).cast("long") + ROW_BYTES).alias("size"),
+            words.cast("long").alias("tokens"),
+            F.crc32(body.cast("binary")).alias("text_crc32"),
+            F.unhex(F.md5(body.cast("binary"))).alias("group"),
+        )
+    )
+    n, total, tokens = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("r")]
+    groups = durable(rows.groupBy("group").agg(*sums))
+    # a group beyond an equal part of all bytes or rows: there are fewer than two for each shard
+    share = F.greatest(F.col("b") / max(total / n_shards, 1), F.col("r") / max(n / n_shards, 1))
+    large = groups.filter((share > 1) & (F.col("r") > 1)).select("group", F.ceil(PARTS * share).cast("long").alias("parts"))
+    part = F.when(F.col("parts").isNull(), F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64(F.lit("part"), "doc_id", F.rand(7) * F.isnull("doc_id").cast("int")), F.coalesce("parts", F.lit(1))))
+    dealt = durable(rows.join(F.broadcast(large), "group", "left").withColumn("part", part).drop("parts"))
+    split = dealt.join(F.broadcast(large), "group").groupBy("group", "part").agg(*sums)
+    items = groups.join(F.broadcast(large), "group", "left_anti").select("group", F.lit(0).cast("long").alias("part"), "b", "t", "r").union(split)
+    placed = durable(placements(items, (total, tokens, n), n_shards, cell_items, fan))
+    crowd = F.col("r") > max(CROWD_ROWS, n // MOST_CROWDS)
+    crowds = dealt.join(F.broadcast(placed.filter(crowd).drop("r")), ["group", "part"], "left")
+    columns = ["doc_id", "size", "tokens", "text_crc32", "group", "part"]
+    others = crowds.filter("shard is null").select(*columns).join(placed.filter(~crowd).drop("r"), ["group", "part"])
+    found = crowds.filter("shard is not null").select(*columns, "shard").union(others.select(*columns, "shard"))
+    salted = durable(found.withColumn("salt", F.pmod(F.xxhash64("group", "doc_id"), F.lit(pieces(n, numbered * n_shards)))))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy("salt")) - F.col("n")
+    bases = salted.groupBy("shard", "salt").agg(F.count(F.lit(1)).alias("n")).select("shard", "salt", before.alias("base"))
+    rank = F.row_number().over(Window.partitionBy("shard", "salt").orderBy("doc_id", "group")) - 1
+    return salted.withColumn("rank", rank).join(bases, ["shard", "salt"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("rank")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "tokens", "part")
