@@ -1,21 +1,21 @@
 """Main text of pages by nearest-URL page differencing.
 
 1. Every page is cut into text lines (blocks) in page order.  A line carries its role: in a landmark of the main text, in
-   a landmark or element that is no main text, or undecided.
+   a landmark or element that is no main text, in an element whose names say so, or undecided.
 2. Pages of a host are paired with the nearest page by URL: the neighbour in the order of paths with the longer common
    beginning.  Lines are aligned by longest common subsequence, and shared lines are deleted.
 3. An exact check follows, since two articles may share a passage and two menus may differ: lines of a main landmark
-   stay though they are shared, lines of other landmarks go though they are not.  On undecided lines, as on all pages
-   without landmarks, the differencing decides alone.
+   stay though they are shared, lines of other landmarks go though they are not.  All other lines are the differencing's:
+   shared ones go; of those that are not shared, names of class, id or role take away what they mark.
 
-Pages are ordered over all hosts by range partitions, so a host with a third of all pages is cut into many tasks; only
-hashes of lines travel for that, and the neighbours of the first and last page of a task come from a table of two rows a
-task.  The texts are shuffled once, compressed, to meet the decisions.
+Pages are ordered over all hosts by range partitions, so a host with a third of all pages is cut into many tasks.  Pages
+travel once, compressed, and are read once, where their neighbours are.  The first and last run of a task wait for a table
+of two rows a task, which tells them of the neighbours beyond the task's ends.
 
 Defined results for odd input
 * null html counts as empty and gives an empty text; a null url has no host: such pages pair with one another by id;
-* a page alone on its host shares nothing; repeated rows share nothing by being copies: a neighbour whose lines are all
-  the same is passed over for pairing, since differencing would delete the whole page;
+* a page alone on its host shares nothing; repeated rows share nothing by being copies: pages with the same lines that
+  follow one another are one run, which is paired with the nearest run before or after it;
 * very long pages are read whole; an empty table gives an empty result; other columns of the input are ignored.
 """
 
@@ -53,15 +53,17 @@ ASIDE_WORDS = (
 ASIDE_NAMES = re.compile(ASIDE_WORDS, re.I)
 DOUBTFUL_NAMES = re.compile(rf"(?:^|[_-]){ASIDE_WORDS}(?:$|[_-])", re.I)
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:main|article|post-content|entry-content|article-body|main-content)(?:$|[\s_-])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Comments, declarations and tags.  A quote opens a value only after an equals sign; elsewhere it is part of a name.
+TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))?)*+)(?:>|$)", re.S)
+ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+TELLING = re.compile(r"class|id|role|hidden", re.I)
 
 MAIN_ROLE = re.compile(r"(?:^|\s)role\s*=\s*[\"']?\s*main(?=$|[\s\"'])", re.I)
 #: Elements that no class, id or role drops.
 WHOLE = frozenset("html body".split()) | MAIN
 
 UNDECIDED, KEEP, DROP = 0, 1, 2
-#: While parsing: dropped for its names alone; in a main landmark, but of a doubtful name.  The lines are dropped and undecided.
+#: Marked by names alone; and, while parsing, in a main landmark but of a doubtful name, whose lines are undecided.
 NAMED, DOUBTFUL = 3, 4
 
 
@@ -71,14 +73,15 @@ def role(name: str, attributes: str, above: int, spared: bool = False) -> int:
         return DROP
     named = doubtful = main = False
     if attributes:
-        for key, a, b, c in ATTRIBUTE.findall(attributes):
+        for key, a, b, c in ATTRIBUTE.findall(attributes) if TELLING.search(attributes) else ():
             key, value = key.lower(), a or b or c
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 return DROP
-            if key != "aria-hidden":
+            if key in ("class", "id", "role"):
                 for word in value.split():
                     if ASIDE_NAMES.fullmatch(word):
-                        named = True
+                        # an article's own header is no page header
+                        named, doubtful = (named, True) if above in (KEEP, DOUBTFUL) and word.lower() in ("header", "banner") else (True, doubtful)
                     elif DOUBTFUL_NAMES.search(word):
                         doubtful = True
                     elif MAIN_NAMES.search(word):
@@ -114,7 +117,7 @@ def lines_of(page: str, spared: frozenset[int] = frozenset()) -> list[tuple[int,
         line = " ".join(entities.unescape("".join(text)).split())
         text.clear()
         if line:
-            out.append(({NAMED: DROP, DOUBTFUL: UNDECIDED}.get(now, now), line))
+            out.append((UNDECIDED if now == DOUBTFUL else now, line))
 
     while True:
         tag = TAG.search(page, at)
@@ -213,16 +216,20 @@ def aligned(x: np.ndarray, y: np.ndarray, cells: int = 1_000_000) -> list[int]:
     return on
 
 
-def main_text(lines: list[tuple[int, str]], shared: np.ndarray) -> str:
-    """Lines that stay after differencing and the exact check; `shared` may be empty where nothing is."""
-    gone = shared if len(shared) else np.zeros(len(lines), bool)
-    return "\n".join(t for (r, t), s in zip(lines, gone, strict=True) if r == KEEP or r == UNDECIDED and not s)
+def main_text(roles: list[int], texts: list[str], shared: np.ndarray) -> tuple[str, int]:
+    """What stays after differencing and the exact check, and how many lines the differencing deleted.
+
+    `shared` may be empty where nothing is.
+    """
+    gone = shared if len(shared) else np.zeros(len(texts), bool)
+    kept = "\n".join(t for r, t, s in zip(roles, texts, gone, strict=True) if r == KEEP or r == UNDECIDED and not s)
+    return kept, sum(bool(s) for r, s in zip(roles, gone, strict=True) if r in (UNDECIDED, NAMED))
 
 
-def line_hashes(lines: list[tuple[int, str]]) -> np.ndarray:
+def line_hashes(texts: list[str]) -> np.ndarray:
     from xxhash import xxh3_64_intdigest
 
-    return np.array([xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for _, t in lines], "<u8")
+    return np.array([xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], "<u8")
 
 
 def common_beginning(a: str, b: str) -> int:
@@ -233,61 +240,16 @@ def common_beginning(a: str, b: str) -> int:
 HOST = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
-def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per input row: ``page_id, url, text, n_chars``, and ``n_shared``, the lines that differencing deleted."""
-    url = F.coalesce(F.col(url_col), F.lit(""))
-    host = F.lower(F.regexp_extract(url, HOST, 1))
-    path = F.regexp_replace(F.regexp_replace(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*", ""), r"/?(?:[?#].*)?$", "")
-    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    # Rows need a key of their own, as ids may repeat or be null; rows alike in all of these share one decision.
-    source = source.withColumn("key", F.unhex(F.md5(F.concat_ws("\x01", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("\x02")), "html"))))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = [line_hashes(lines_of(h)).tobytes() for h in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(blobs, pa.binary())], names=["key", "host", "path", "lines"])
-
-    def sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            blobs = []
-            for h in batch.column(3).to_pylist():
-                lines = lines_of(h)
-                # a line never holds a line feed, so it can part the lines; roles are one digit each, in front
-                blobs.append(press.compress("\n".join(["".join(str(r) for r, _ in lines), *[t for _, t in lines]]).encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(blobs, pa.binary())], names=["key", "page_id", "url", "body"])
-
-    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        press = zstandard.ZstdDecompressor()
-        for batch in batches:
-            out: list[list] = [[], [], []]
-            for body, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                roles, *texts = press.decompress(body).decode("utf-8", "surrogatepass").split("\n")
-                gone = np.unpackbits(np.frombuffer(shared or b"", np.uint8), count=len(roles)).astype(bool) if shared else np.zeros(0, bool)
-                text = main_text([(int(r), t) for r, t in zip(roles, texts, strict=True)], gone)
-                for column, value in zip(out, (text, len(text), int(gone.sum())), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared"])
-
-    narrow = source.select("key", "host", "path", "html").mapInArrow(hashed, "key binary, host string, path string, lines binary")
-    decisions = shared_with_nearest(narrow)
-    texts = source.select("key", "page_id", "url", "html").mapInArrow(sealed, "key binary, page_id long, url string, body binary")
-    return texts.join(decisions, "key", "left").select("page_id", "url", "body", "shared").mapInArrow(finished, "page_id long, url string, text string, n_chars long, n_shared long")
-
-
 class Run:
     """Pages of a host that follow one another in the order of URLs and have the same lines."""
 
-    def __init__(self, host: str, path: str, lines: bytes):
-        self.host, self.first, self.last, self.lines, self.keys = host, path, path, lines, []
+    def __init__(self, host: str, path: str, texts: list[str], lines: bytes):
+        self.host, self.first, self.last, self.texts, self.lines = host, path, path, texts, lines
+        self.pages: list[tuple[int | None, str | None, list[int]]] = []
 
     def verdict(self, before: Run | None, after: Run | None) -> tuple[int, bytes]:
         """(length of the common beginning of the paths, packed bits of the lines shared with the nearer neighbour)."""
-        near = [(common_beginning(self.first, r.last if r is before else r.first), r) for r in (before, after) if r and r.host == self.host]
+        near = [(common_beginning(self.first, r.last) if r is before else common_beginning(self.last, r.first), r) for r in (before, after) if r and r.host == self.host]
         if not near:
             return -1, b""
         common, other = max(near, key=lambda x: x[0])
@@ -295,74 +257,150 @@ class Run:
         return common, np.packbits(shared_lines(mine, theirs)).tobytes()
 
 
-DECISION = "key binary, shared binary, common int, task int, place int, host string, path string, lines binary"
+def unpacked(shared: bytes | None, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(shared, np.uint8), count=n).astype(bool) if shared else np.zeros(0, bool)
 
 
-def shared_with_nearest(narrow: DataFrame) -> DataFrame:
-    """``key, shared``: the lines of each page that its nearest page by URL has too, as packed bits, each key once.
+#: Rows that are done have no `task`; rows of a task's first (place 0) or last run wait with their lines in `body`; the
+#: ends themselves have a `path` and the hashes of their `lines`.
+DECIDED = pa.schema(
+    [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_shared", pa.int64()), ("body", pa.binary())]
+    + [("task", pa.int32()), ("place", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary()), ("common", pa.int32()), ("shared", pa.binary())]
+)
+DECIDED_DDL = "page_id long, url string, text string, n_chars long, n_shared long, body binary, task int, place int, host string, path string, lines binary, common int, shared binary"
+#: Rows and characters of a batch of results.
+BATCH_ROWS, BATCH_CHARS = 4000, 16_000_000
 
-    A task sees its pages in the order of host, path and key.  Its first and last run are decided with what it knows and
-    also passed on whole; a table of these, two rows a task, adds the neighbours beyond the task's ends.
-    """
-    parts = int(narrow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = narrow.repartitionByRange(parts, "host", "path", "key").sortWithinPartitions("host", "path", "key")
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        schema = pa.schema([("key", pa.binary()), ("shared", pa.binary()), ("common", pa.int32()), ("task", pa.int32()), ("place", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("lines", pa.binary())])
-
-        def runs() -> Iterator[Run]:
-            now = None
-            for batch in batches:
-                for key, host, path, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if now is None or now.host != host or now.lines != lines:
-                        if now:
-                            yield now
-                        now = Run(host, path, lines)
-                    now.last = path
-                    if not now.keys or now.keys[-1] != key:
-                        now.keys.append(key)
-            if now:
-                yield now
 
-        def rows(run: Run, before: Run | None, after: Run | None) -> list[tuple]:
-            common, shared = run.verdict(before, after)
-            ends = [(0, run.first)] * (before is None) + [(1, run.last)] * (after is None)
-            whole = [(run.keys[0] if place == 0 else run.keys[-1], shared, common, task, place, run.host, path, run.lines) for place, path in ends]
-            return [(k, shared, common, None, None, None, None, None) for k in run.keys] + whole
+def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages in the order of host, path and key: each read once and differenced with its neighbours."""
+    import zstandard
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
+    press, depress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
+    def runs() -> Iterator[Run]:
+        now = None
+        for batch in batches:
+            for page_id, url, host, path, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines = lines_of(depress.decompress(body).decode("utf-8", "surrogatepass"))
+                roles, texts = [r for r, _ in lines], [t for _, t in lines]
+                hashes = line_hashes(texts).tobytes()
+                if now is None or now.host != host or now.lines != hashes:
+                    if now:
+                        yield now
+                    now = Run(host, path, texts, hashes)
+                now.last = path
+                now.pages.append((page_id, url, roles))
+        if now:
+            yield now
+
+    def rows(run: Run, before: Run | None, after: Run | None) -> Iterator[tuple]:
+        common, shared = run.verdict(before, after)
+        if before is not None and after is not None:
+            gone = unpacked(shared, len(run.texts))
+            for page_id, url, roles in run.pages:
+                text, n = main_text(roles, run.texts, gone)
+                yield (page_id, url, text, len(text), n, *[None] * 8)
+            return
+        place = 0 if before is None else 1
+        for page_id, url, roles in run.pages:
+            # a line never holds a line feed, so it can part the lines; roles are one digit each, in front
+            body = press.compress("\n".join(["".join(map(str, roles)), *run.texts]).encode("utf-8", "surrogatepass"))
+            yield (page_id, url, None, None, None, body, task, place, *[None] * 5)
+        for end, path in [(0, run.first)] * (before is None) + [(1, run.last)] * (after is None):
+            yield (*[None] * 6, task, end, run.host, path, run.lines, common, shared)
+
+    def results() -> Iterator[tuple]:
         before = now = None
-        out: list[tuple] = []
         for after in runs():
             if now:
-                out += rows(now, before, after)
+                yield from rows(now, before, after)
                 before = now
+                before.pages = []
             now = after
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-                out = []
         if now:
-            out += rows(now, before, None)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
-
-    decided = durable(ordered.mapInArrow(decide, DECISION))
-
-    def beyond(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["task", "place"], ignore_index=True)
-        out = []
-        for i, r in frame.iterrows():
-            j = i - 1 if r["place"] == 0 else i + 1
-            if 0 <= j < len(frame) and frame["task"][j] != r["task"] and frame["lines"][j] != r["lines"]:
-                run, other = Run(r["host"], r["path"], r["lines"]), Run(frame["host"][j], frame["path"][j], frame["lines"][j])
-                common, shared = run.verdict(other, None)
-                if common > r["common"] or common == r["common"] and r["place"] == 0:
-                    out.append((r["key"], shared, common))
-        best = pd.DataFrame(out, columns=["key", "shared", "common"])
-        return best.sort_values("common", ascending=False).drop_duplicates("key")[["key", "shared"]]
-
-    ends = decided.filter("task is not null").groupBy().applyInPandas(beyond, "key binary, shared binary").withColumnRenamed("shared", "beyond")
-    inner = decided.filter("task is null").select("key", "shared")
-    return inner.join(ends, "key", "left").select("key", F.coalesce("beyond", "shared").alias("shared"))
+            yield from rows(now, before, None)
+
+    out, size = [], 0
+    for row in results():
+        out.append(row)
+        size += len(row[2] or "") + len(row[5] or "") + len(row[10] or "")
+        if len(out) >= BATCH_ROWS or size >= BATCH_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), DECIDED.types, strict=True)], schema=DECIDED)
+            out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), DECIDED.types, strict=True)], schema=DECIDED)
+
+
+def beyond(frame: pd.DataFrame) -> pd.DataFrame:
+    """The verdict for the first and last run of every task, from the ends of all tasks.
+
+    Ends that follow one another with the same lines are one run; it takes the best of what its members found in their
+    tasks and of what the ends before and after it tell.
+    """
+    frame = frame.sort_values(["task", "place"], ignore_index=True)
+    groups: list[list[int]] = []
+    for i in range(len(frame)):
+        alike = bool(groups) and frame["host"][i] == frame["host"][i - 1] and frame["lines"][i] == frame["lines"][i - 1]
+        # the first and last run of one task are one only if neither had a neighbour there
+        if alike and (frame["task"][i] != frame["task"][i - 1] or frame["common"][i] < 0):
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    out = []
+    for g, members in enumerate(groups):
+        run = Run(frame["host"][members[0]], frame["path"][members[0]], [], frame["lines"][members[0]])
+        run.last = frame["path"][members[-1]]
+        around: list[Run | None] = []
+        for h, at in ((g - 1, -1), (g + 1, 0)):
+            other = groups[h][at] if 0 <= h < len(groups) else None
+            mine = members[0] if at else members[-1]
+            ok = other is not None and frame["task"][other] != frame["task"][mine]
+            around.append(Run(frame["host"][other], frame["path"][other], [], frame["lines"][other]) if ok else None)
+        best = max([(int(frame["common"][i]), 0, frame["shared"][i] or b"") for i in members] + [(c, 1, s) for c, s in [run.verdict(*around)]], key=lambda x: x[:2])
+        out += [(frame["task"][i], frame["place"][i], best[2]) for i in members]
+    return pd.DataFrame(out, columns=["task", "place", "shared"])
+
+
+def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per input row: ``page_id, url, text, n_chars``, and ``n_shared``, the lines that differencing deleted."""
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    host = F.lower(F.regexp_extract(url, HOST, 1))
+    path = F.regexp_replace(F.regexp_replace(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*", ""), r"/?(?:[?#].*)?$", "")
+    source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("html"))
+
+    def sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            blobs = pa.array([press.compress(h) for h in batch.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], blobs], names=["page_id", "url", "host", "path", "body"])
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for body, shared in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                roles, *texts = press.decompress(body).decode("utf-8", "surrogatepass").split("\n")
+                text, n = main_text([int(r) for r in roles], texts, unpacked(shared, len(roles)))
+                for column, value in zip(out, (text, len(text), n), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["page_id", "url", "text", "n_chars", "n_shared"])
+
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # compressed pages order rows that are alike in all else, so that the order is total
+    order = [F.col("host"), F.col("path"), F.col("page_id"), F.col("url"), F.crc32("body")]
+    travelling = source.mapInArrow(sealed, "page_id long, url string, host string, path string, body binary")
+    ordered = travelling.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = durable(ordered.mapInArrow(decided, DECIDED_DDL))
+    ends = rows.filter("path is not null").select("task", "place", "host", "path", "lines", "common", "shared").groupBy().applyInPandas(beyond, "task int, place int, shared binary")
+    waiting = rows.filter("body is not null").select("page_id", "url", "body", "task", "place")
+    # two rows a task, of a bit for each line of a page
+    told = waiting.join(F.broadcast(ends), ["task", "place"]).select("page_id", "url", "body", "shared")
+    done = rows.filter("text is not null").select("page_id", "url", "text", "n_chars", "n_shared")
+    return done.union(told.mapInArrow(finished, "page_id long, url string, text string, n_chars long, n_shared long"))
