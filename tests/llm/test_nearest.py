@@ -1,7 +1,10 @@
+from collections import defaultdict
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.llm.ann import Tree, box_distance, buckets, chi_square, nearest
+from ledgerline.llm.ann import DIMENSIONS, Tree, box_distance, buckets, chi_square, nearest, quantile
 
 SCHEMA = "vec_id long, embedding array<float>, label int, vector string, ids int"
 
@@ -43,12 +46,39 @@ def test_recall_and_order(spark):
     assert hits / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_and_verified_share_of_the_test_tables(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = {r.vec_id: np.array(r.embedding, float) for r in df.collect() if r.embedding is not None and len(r.embedding) == 64}
+    ids, x = np.array(list(rows)), np.stack(list(rows.values()))
+    got, verified = defaultdict(set), {}
+    for r in nearest(df, F.col("vec_id") % 20 == 0, k=20, shard_rows=500).collect():
+        got[r.query_id].add(r.vec_id)
+        verified[r.query_id] = r.verified
+    hits = 0
+    for i in got:
+        s = x @ rows[i]
+        s[ids == i] = -np.inf
+        hits += len(got[i] & set(ids[np.argsort(-s, kind="stable")[:20]].tolist()))
+    share = np.mean(list(verified.values())) / len(rows)
+    print(f"{sf}: recall {hits / (20 * len(got)):.3f}, verified share {share:.3f}")
+    assert hits / (20 * len(got)) >= 0.9 and share < 0.95
+
+
+def test_the_verified_share_falls_as_rows_grow(spark):
+    share = {}
+    for n in (1200, 6000):
+        df = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in vectors(n, 24, 1)], SCHEMA)
+        share[n] = nearest(df, F.col("vec_id") % 100 == 0, k=10, shard_rows=600, certainty=0.9).agg(F.avg("verified")).first()[0] / n
+    assert share[6000] < share[1200] < 0.5, share
+
+
 def test_copies_ties_and_odd_vectors(spark):
     rows = vectors(300, 8, 2)
     same = rows[5][1]
     rows += [(i, list(same)) for i in range(400, 700)]
     rows += [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [1.0] * 7 + [float("inf")]), (1004, [1.0] * 7 + [None]), (None, [1.0] * 8), (1020, [1.0] * 3), (20, rows[20][1])]
-    got = run(spark, rows, 20, 20, shard_rows=100)
+    got = run(spark, rows, 20, 20, shard_rows=100, certainty=1 - 1e-9)
     want = brute(rows, lambda i: i % 20 == 0 and i != 1020, 20)
     assert set(got) == set(want)
     for q in (400, 420, 680):  # copies of the hot vector: the least other ids, all of one score
@@ -65,8 +95,9 @@ def test_few_candidates(spark):
 
 def test_parts():
     rng = np.random.default_rng(0)
-    x = rng.chisquare(8, 20_000)
-    assert all(abs((x <= q).mean() - chi_square(np.array(q))) < 0.01 for q in (2.0, 7.0, 15.0))
+    x = rng.chisquare(DIMENSIONS, 20_000)
+    assert all(abs((x <= q).mean() - chi_square(np.array(q))) < 0.01 for q in (8.0, 15.0, 24.0))
+    assert all(abs(chi_square(np.array(quantile(c))) - c) < 1e-9 for c in (0.5, 0.9, 0.999))
     p = rng.standard_normal((500, 8))
     groups, low, high = buckets(p, 40)
     assert sorted(np.concatenate(groups).tolist()) == list(range(500)) and max(map(len, groups)) <= 40
