@@ -51,3 +51,72 @@ def test_texts_under_one_id_are_documents_of_their_own(spark):
     near = spark.createDataFrame([*once.collect(), (1, a + " end", "en", "s", 1)], SCHEMA)
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, near, "").collect()]
     assert len(kept) == 4 and {(0, c), (1, b), (3, b[:40])} < set(kept) and {t for i, t in kept if i == 1} - {b} <= {a, a + " end"}
+
+
+def brute_components(texts, similar):
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if similar(texts[i], texts[j]):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def shingles(text):
+    words = text.translate({c: c + 32 for c in range(65, 91)}).split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_deduplication_stages_against_brute_force(spark):
+    """Repeated ids of differing texts, null ids, clashing columns, very long and empty texts; rows are counted whole."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randint(0, 50_000)}"
+    base = [" ".join(word() for _ in range(rng.randint(6, 150))) for _ in range(40)] + [" ".join(word() for _ in range(30_000)), "", "one", "One"]
+    rows = []
+    for n in range(260):
+        text = rng.choice(base)
+        if rng.random() < 0.5 and text:
+            words = text.split()
+            words[rng.randrange(len(words))] = word()
+            text = " ".join(words)
+        rows.append((rng.choice([None, *range(60)]), text if rng.random() < 0.97 else None))
+    rows += rows[:30]
+    names = "_key key doc_key text_key component_id copies rate copy language accepted h".split()
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names)
+    docs = spark.createDataFrame([(i, t, "en", "s", *[f"{c}:{i}" for c in names]) for i, t in rows], schema)
+    out = corpus_pipeline.drop_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert all(r[c] == f"{c}:{r.doc_id}" for r in got for c in names)
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    want = sorted((i, t) for t, i in least.items())
+    assert sorted((r.doc_id, r.text or "") for r in got if r.doc_id is not None) == want
+    nameless = sorted(t or "" for i, t in rows if i is None)
+    assert sorted(r.text or "" for r in got if r.doc_id is None) == nameless
+
+    near = corpus_pipeline.drop_near_copies(spark, out, "")
+    assert near.columns == docs.columns
+    kept = near.collect()
+    texts = sorted({t for _, t in want} | set(nameless))
+    sets = {t: shingles(t) for t in texts}
+    root = brute_components(texts, lambda a, b: not sets[a] | sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    first = {}
+    for t, r in zip(texts, root, strict=True):
+        if t in least:
+            first[r] = min(least[t], first.get(r, least[t]))
+    assert sorted(r.text or "" for r in kept if r.doc_id is None) == nameless
+    mine = [(r.doc_id, r.text or "") for r in kept if r.doc_id is not None]
+    by = dict(zip(texts, root, strict=True))
+    # one row of each component, with its least id; which of several texts under that id is a matter of hashes
+    assert sorted(by[t] for _, t in mine) == sorted(first) and all(i == first[by[t]] and least[t] == i for i, t in mine)
+    assert all(r[c] == f"{c}:{r.doc_id}" for r in kept for c in names)
