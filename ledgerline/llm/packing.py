@@ -39,7 +39,9 @@ END_ID = 1
 #: Documents of a cell, about.
 CELL_DOCS = 8192
 #: Distinct words in a generation of a worker's memory, of which it keeps two; results do not depend on it.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
+#: Characters of texts that are read together.
+GROUP_CHARS = 1 << 14
 
 
 class WordIds:
@@ -61,27 +63,35 @@ class WordIds:
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode(self, text: str) -> bytes:
-        # str.split() also cuts at separators that the tokenizer may not know; these six are white space to every one
-        for blank in BLANKS:
-            text = text.replace(blank, " ")
-        words = text.split(" ")
-        new = set(words).difference(self.known)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; the new words of all are learnt at once."""
+        found = []
+        for text in texts:
+            # str.split() also cuts at separators that the tokenizer may not know; these six are white space to every one
+            for blank in BLANKS:
+                if blank in text:
+                    text = text.replace(blank, " ")
+            found.append(text.split(" "))
+        new = set().union(*found).difference(self.known)
         if new:
-            self.learn(new, words)
-        return b"".join(map(self.known.__getitem__, words))
+            self.learn(new, found)
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, words)) for words in found]
 
-    def learn(self, new: set[str], words: list[str]) -> None:
+    def learn(self, new: set[str], found: list[list[str]]) -> None:
         known = self.known
         if len(known) > self.kept:  # a new generation; words that come again are taken over from the last one
             self.before, known = known, {}
-            self.known, new = known, set(words)
+            self.known, new = known, set().union(*found)
         old = {w for w in new if w in self.before}
         known.update((w, self.before[w]) for w in old)
         plain = {w: (w[:-1], w[-1]) if w[-1:] in MARKS and w[-2:-1].isalpha() else (w, "") for w in new - old}
         plain = {w: (core.lower() if core.isascii() else core, mark) for w, (core, mark) in plain.items()}
         fresh = {x for pair in plain.values() for x in pair}.difference(known)
         letters = [w for w in fresh if w.isalpha()]
-        ids = np.array(self.tokenizer.encode(" ".join(letters), add_special_tokens=False).ids, "<u4") if letters else np.zeros(0, "<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4") if letters else np.zeros(0, "<u4")
         ends = (np.flatnonzero(self.ends_word[ids]) + 1).tolist()
         if len(ends) == len(letters):  # one token that ends a word for each: the ids can be told apart
             blob = ids.tobytes()
@@ -110,6 +120,9 @@ class PlainIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
+
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -164,41 +177,52 @@ def pack_lengths(lengths: np.ndarray, capacity: int, content: np.ndarray | None
     are left, one that takes its even share of them.  Pieces of one length go in the order of the input, but for those that
     the sequence holds already.
     """
-    content = np.arange(len(lengths)) if content is None else content
+    held = list(range(len(lengths))) if content is None else content.tolist()
     stacks: dict[int, list[int]] = {}
     kinds: dict[int, Counter] = {}
     for i in range(len(lengths) - 1, -1, -1):
         stacks.setdefault(int(lengths[i]), []).append(i)
-        kinds.setdefault(int(lengths[i]), Counter())[content[i]] += 1
+        kinds.setdefault(int(lengths[i]), Counter())[held[i]] += 1
     counts = {length: len(s) for length, s in stacks.items()}
-    distinct = {length: len(k) for length, k in kinds.items()}
+    # only lengths that hold a content twice need to be told apart
+    kinds = {length: k for length, k in kinds.items() if len(k) < counts[length]}
     sequence, offset, now, rest = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0, int(lengths.sum())
     while counts:
         at, inside, left = 0, set(), -(-rest // capacity)
-        some = distinct if max(counts.values()) <= left else {length: max(n, -(-counts[length] // left)) for length, n in distinct.items()}
+        some = counts | {length: max(len(k), -(-counts[length] // left)) for length, k in kinds.items()} if kinds else counts
         taken = fill(some, capacity)
-        if (used := sum(length * n for length, n in taken)) < capacity and some != counts:
+        if kinds and (used := sum(length * n for length, n in taken)) < capacity:
             closer = fill(counts, capacity)
             taken = closer if sum(length * n for length, n in closer) > used else taken
         for length, n in taken:
-            stack, kind = stacks[length], kinds[length]
+            stack, kind = stacks[length], kinds.get(length)
             for _ in range(n):
-                top = len(stack) - 1
-                new = any(c not in inside for c in islice(kind, len(inside) + 1))
-                i = stack.pop(next(j for j in range(top, -1, -1) if content[stack[j]] not in inside) if new else top)
-                inside.add(content[i])
-                kind[content[i]] -= 1
-                if not kind[content[i]]:
-                    del kind[content[i]]
+                place = len(stack) - 1
+                if kind and held[stack[place]] in inside and any(c not in inside for c in islice(kind, len(inside) + 1)):
+                    place = next(j for j in range(place, -1, -1) if held[stack[j]] not in inside)
+                i = stack.pop(place)
+                if kind:
+                    inside.add(held[i])
+                    kind[held[i]] -= 1
+                    if not kind[held[i]]:
+                        del kind[held[i]]
                 sequence[i], offset[i] = now, at
                 at += length
-            counts[length], distinct[length] = len(stack), len(kind)
+            counts[length] = len(stack)
             if not stack:
-                del counts[length], distinct[length]
+                del counts[length]
+            if kind is not None and len(kind) == len(stack):
+                del kinds[length]
         now, rest = now + 1, rest - at
     return sequence, offset
 
 
+def group_ends(texts: list[str], chars: int = GROUP_CHARS) -> list[int]:
+    """Where groups of texts of about so many characters end."""
+    sums = np.cumsum([len(t) for t in texts], dtype=np.int64) // chars
+    return [*(np.flatnonzero(np.diff(sums)) + 1).tolist(), len(texts)] if len(texts) else []
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` of every piece, full ones, then the remainder, and ``row``, a number
     of the input row that follows the order of the input."""
@@ -208,11 +232,15 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         words = word_ids(tokenizer_path)
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for doc_id, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = words.encode(text or "") + end
-                n = len(ids) // 4
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            cuts = group_ends(texts)
+            encoded = (ids for a, b in zip([0, *cuts], cuts, strict=False) for ids in words.encode_all(texts[a:b]))
+            for doc_id, row, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoded, strict=True):
+                n = len(ids) // 4 + 1
                 for start in range(0, n, capacity):
                     part = ids[4 * start : 4 * (start + capacity)]
+                    if n <= start + capacity:
+                        part += end
                     for column, value in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n, row), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
