@@ -39,7 +39,7 @@ END_ID = 1
 #: Documents of a cell, about.
 CELL_DOCS = 8192
 #: Distinct words in a generation of a worker's memory, of which it keeps two; results do not depend on it.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 600_000
 #: Characters of texts that are read together.
 GROUP_CHARS = 1 << 14
 
@@ -187,9 +187,13 @@ def pack_lengths(lengths: np.ndarray, capacity: int, content: np.ndarray | None
     # only lengths that hold a content twice need to be told apart
     kinds = {length: k for length, k in kinds.items() if len(k) < counts[length]}
     sequence, offset, now, rest = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0, int(lengths.sum())
+    some = counts | {length: len(k) for length, k in kinds.items()}
+    look = 0  # the sequence from which on a length may have more pieces than sequences are left
     while counts:
         at, inside, left = 0, set(), -(-rest // capacity)
-        some = counts | {length: max(len(k), -(-counts[length] // left)) for length, k in kinds.items()} if kinds else counts
+        if kinds and now >= look:
+            some |= {length: max(len(k), -(-counts[length] // left)) for length, k in kinds.items()}
+            look = now + max(1, (left - max(counts[length] for length in kinds)) // 2)
         taken = fill(some, capacity)
         if kinds and (used := sum(length * n for length, n in taken)) < capacity:
             closer = fill(counts, capacity)
@@ -208,11 +212,13 @@ def pack_lengths(lengths: np.ndarray, capacity: int, content: np.ndarray | None
                         del kind[held[i]]
                 sequence[i], offset[i] = now, at
                 at += length
-            counts[length] = len(stack)
-            if not stack:
-                del counts[length]
+            counts[length] = some[length] = len(stack)
             if kind is not None and len(kind) == len(stack):
                 del kinds[length]
+            elif kind is not None:
+                some[length] = max(len(kind), -(-len(stack) // left))
+            if not stack:
+                del counts[length], some[length]
         now, rest = now + 1, rest - at
     return sequence, offset
 
