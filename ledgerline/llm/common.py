@@ -23,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def durable(df: DataFrame, parts: int | None = None) -> DataFrame:
+def durable(df: DataFrame, parts: int | None = None, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write to the shared folder and read again, so that a lost executor costs no recomputation.
 
     `parts` bounds the number of files of a table whose last step is a shuffle; many tiny files cost more than they carry.
@@ -31,7 +31,7 @@ def durable(df: DataFrame, parts: int | None = None) -> DataFrame:
     spark = df.sparkSession
     df = df.coalesce(parts) if parts else df
     path = f"{shared_folder(spark)}/ledgerline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

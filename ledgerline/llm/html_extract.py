@@ -374,7 +374,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     def sealed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             blobs = pa.array([press.compress(h) for h in batch.column(4).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], blobs], names=["page_id", "url", "host", "path", "body"])
@@ -397,7 +397,7 @@ def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     order = [F.col("host"), F.col("path"), F.col("page_id"), F.col("url"), F.crc32("body")]
     travelling = source.mapInArrow(sealed, "page_id long, url string, host string, path string, body binary")
     ordered = travelling.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    rows = durable(ordered.mapInArrow(decided, DECIDED_DDL))
+    rows = durable(ordered.mapInArrow(decided, DECIDED_DDL), codec="zstd")
     ends = rows.filter("path is not null").select("task", "place", "host", "path", "lines", "common", "shared").groupBy().applyInPandas(beyond, "task int, place int, shared binary")
     waiting = rows.filter("body is not null").select("page_id", "url", "body", "task", "place")
     # two rows a task, of a bit for each line of a page
