@@ -53,9 +53,14 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v", most_rounds: in
     raise RuntimeError(f"components did not settle within {most_rounds} rounds")
 
 
-def with_least(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """`rows` with the least `value` of their group as a column `name`; a large group's rows are dealt over several tasks."""
-    least = rows.groupBy(group).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+def with_group(rows: DataFrame, groups: DataFrame, group: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with `groups`, which has one row for each group; a large group's rows are dealt over several tasks."""
     every = F.array(*[F.lit(i).cast("long") for i in range(SALTS)])
     dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    return dealt.join(least.withColumn("salt", F.explode(every)).hint("merge"), [group, "salt"], "left").drop("salt").withColumn(name, F.coalesce(name, value))
+    return dealt.join(groups.withColumn("salt", F.explode(every)).hint("merge"), [group, "salt"], how).drop("salt")
+
+
+def with_least(rows: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """`rows` with the least `value` of their group as a column `name`."""
+    least = rows.groupBy(group).agg(F.min(value).alias(name), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return with_group(rows, least, group, "left").withColumn(name, F.coalesce(name, value))

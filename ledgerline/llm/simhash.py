@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import durable, pieces, spread
-from ledgerline.llm.components import components, with_least
+from ledgerline.llm.components import components, with_group, with_least
 from ledgerline.llm.exact_dedup import content_hash
 
 WORD = 64
@@ -334,7 +334,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / block_texts, F.sum("size") / BLOCK_SHINGLES)).cast("int")
     crowded = texts.groupBy("component").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("n > 1").select("component", "blocks")
     # written, so that the planner knows its size and shuffles the texts only where it is large
-    close = durable(texts.join(crowded, "component").select(F.col("text_key").alias("key"), "least", "vertex", "component", F.greatest("blocks", F.lit(1)).alias("blocks")))
+    close = durable(with_group(texts, crowded, "component").select(F.col("text_key").alias("key"), "least", "vertex", "component", F.greatest("blocks", F.lit(1)).alias("blocks")))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
