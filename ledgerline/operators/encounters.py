@@ -42,14 +42,14 @@ class Fight:
 
 
 def assign(rows, options: Options, active: dict[str, Fight] | None = None) -> list[tuple[int, int, str]]:
-    """(seq, opener's seq, enemy) of each attached event of one session; rows are (seq, ts, what, a, b, enemy).
+    """(seq, opener's seq, enemy) of each attached event of one session; rows are (seq, ts, what, a, b, enemy, sweep).
 
-    `active` holds the open fights by enemy, and is changed; a stream hands it on from batch to batch.
+    ``sweep`` is the latest time that was reached since the row before, this one included: it ends fights.  `active` holds the open fights by enemy, and is changed; a stream hands it on from batch to batch.
     """
     active = {} if active is None else active
     out = []
-    for seq, ts, what, a, b, enemy in rows:
-        for name in [n for n, f in active.items() if ts - f.ended > (options.raid_timeout_ms if f.raid else options.group_timeout_ms)]:
+    for seq, ts, what, a, b, enemy, sweep in rows:
+        for name in [n for n, f in active.items() if sweep - f.ended > (options.raid_timeout_ms if f.raid else options.group_timeout_ms)]:
             del active[name]
         fight = None
         if what == 1:
@@ -77,21 +77,32 @@ def combat_rows(events: DataFrame, options: Options) -> DataFrame:
 def attached(events: DataFrame, options: Options | None = None) -> DataFrame:
     """``log_file_id, session_no, seq, opener_seq, enemy`` of events that belong to an encounter.
 
-    `events` has sides (`ledgerline.operators.resolve.with_sides`) and ``session_no``.  Every event takes part, since any
-    later event may end a fight.
+    `events` has sides (`ledgerline.operators.resolve.with_sides`) and ``session_no``.  Any later event may end a fight,
+    but only combat reaches the machine: each of its rows brings the latest time since the one before (`swept`).
     """
     options = options or Options()
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("seq").astype({"a": object, "b": object, "enemy": object})
         frame = frame.where(frame.notna(), None)
-        found = assign(zip(*(frame[c].tolist() for c in ("seq", "ts", "what", "a", "b", "enemy")), strict=True), options)
+        found = assign(zip(*(frame[c].tolist() for c in ("seq", "ts", "what", "a", "b", "enemy", "sweep")), strict=True), options)
         out = pd.DataFrame(found, columns=["seq", "opener_seq", "enemy"])
         out.insert(0, "session_no", key[1])
         out.insert(0, "log_file_id", key[0])
         return out
 
-    return combat_rows(events, options).groupBy("log_file_id", "session_no").applyInPandas(run, ASSIGNED)
+    return swept(combat_rows(events, options)).groupBy("log_file_id", "session_no").applyInPandas(run, ASSIGNED)
+
+
+def swept(rows: DataFrame) -> DataFrame:
+    """Combat rows alone, each with ``sweep``: the latest time of the rows after the last combat row, itself included."""
+    w = Window.partitionBy("log_file_id", "session_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    stretch = F.coalesce(F.sum((F.col("what") > 0).cast("long")).over(w), F.lit(0))
+    fields = ("seq", "ts", "what", "a", "b", "enemy")
+    # a stretch holds one combat row at most, its last
+    fight = F.max(F.when(F.col("what") > 0, F.struct(*fields))).alias("r")
+    per = rows.withColumn("stretch", stretch).groupBy("log_file_id", "session_no", "stretch").agg(fight, F.max("ts").alias("sweep"))
+    return per.filter("r is not null").select("log_file_id", "session_no", "r.*", "sweep")
 
 
 def islands(events: DataFrame, part: list[str], order: str, ts: str, timeout: int, name: str = "island") -> DataFrame:

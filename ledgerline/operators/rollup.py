@@ -17,12 +17,19 @@ def damage_kind(kind: Column) -> Column:
     return out
 
 
-def contributions(events: DataFrame, found: DataFrame, ids: DataFrame) -> DataFrame:
-    """Deeds of the allies' side in encounters; the encounter's own enemy never contributes."""
+def contributions(events: DataFrame, found: DataFrame, ids: DataFrame, kinds: DataFrame | None = None) -> DataFrame:
+    """Deeds of the allies' side in encounters; the encounter's own enemy never contributes.
+
+    A deed that rolled up is on its owner's side.  Only corrections or signals name other owners than the log's own;
+    `kinds` (``log_file_id, canonical, kind``) then tells theirs.
+    """
     rows = found.join(events, ["log_file_id", "session_no", "seq"]).join(ids.select("log_file_id", "opener_seq", "encounter_id"), ["log_file_id", "opener_seq"])
     rows = attribution(rows.filter(F.col("type").isin(*KINDS, "melee_miss", "heal")))
-    # the side of a name that a deed rolled up to is the owner's
-    ally = F.col("rolled_up") | (F.coalesce(side_of(F.col("source_name"), F.col("a_kind"), F.col("owner_name")), F.lit("unknown")) != "enemy")
+    kind = F.when(~F.col("rolled_up"), F.col("a_kind"))
+    if kinds is not None:
+        rows = rows.join(kinds.select("log_file_id", F.col("canonical").alias("attributed_name"), F.col("kind").alias("told_kind")), ["log_file_id", "attributed_name"], "left")
+        kind = F.when(F.col("rolled_up"), F.col("told_kind")).otherwise(F.col("a_kind"))
+    ally = F.coalesce(side_of(F.col("attributed_name"), kind, F.col("owner_name")), F.lit("unknown")) != "enemy"
     rows = rows.filter(ally & (F.col("source_name") != F.col("enemy")))
     kind = damage_kind(F.col("type"))
     return rows.select(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.operators import encounters as enc
@@ -84,7 +84,8 @@ class Projections:
 
     @cached_property
     def deeds(self) -> DataFrame:
-        return rollup.contributions(self.timeline, self.attached, self.encounters)
+        told = self.overrides is not None or self.signals is not None
+        return rollup.contributions(self.timeline, self.attached, self.encounters, resolve.resolver_heads(self.states) if told else None)
 
     @cached_property
     def actor_stats(self) -> DataFrame:
@@ -153,20 +154,31 @@ class Projections:
 
     TABLES = ("sessions", "zones", "zone_visits", "entities", "entity_links", "encounters", "participants", "actor_stats", "buckets", "xp_events", "aa_events", "loot_events", "currency_ledger", "faction_events", "skill_events", "event_links")
 
-    def write(self, folder: str, only: tuple[str, ...] = TABLES) -> None:
-        """Write the tables below `folder`; tables with a log's rows are partitioned by it and replaced log by log."""
+    def write(self, folder: str, only: tuple[str, ...] = TABLES, replaced: tuple[int, ...] = ()) -> None:
+        """Write the tables below `folder`; tables with a log's rows are partitioned by it and replaced log by log.
+
+        The old rows of logs named in `replaced` go even where a log has no rows any more.
+        """
         for name in only:
             rows = getattr(self, name)
             out = rows.withColumn("projector_version", F.lit(VERSION)).write.mode("overwrite")
             if "log_file_id" in rows.columns:
+                for number in replaced:
+                    removed(self.events.sparkSession, f"{folder}/{name}/log_file_id={number}")
                 out = out.partitionBy("log_file_id").option("partitionOverwriteMode", "dynamic")
             out.parquet(f"{folder}/{name}")
 
 
-def updated(folder: str, events: DataFrame, files: DataFrame, watermark: DataFrame | None, overrides: DataFrame | None = None, options: Options = Options()) -> DataFrame:
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def updated(folder: str, events: DataFrame, files: DataFrame, watermark: DataFrame | None, overrides: DataFrame | None = None, options: Options = Options(), signals: DataFrame | None = None) -> DataFrame:
     """Recompute the logs whose last event is beyond the watermark, write them, and return the new watermark.
 
-    The result equals a rebuild, since a log's tables depend on its own events alone.
+    The result equals a rebuild, since a log's tables depend on its own events, corrections and signals alone; where
+    these change for a log, leave it out of the watermark.  A call that was cut off is repeated with the old watermark.
     """
     heads = events.groupBy("log_file_id").agg(F.max("seq").alias("seq"))
     if watermark is not None:
@@ -174,7 +186,12 @@ def updated(folder: str, events: DataFrame, files: DataFrame, watermark: DataFra
         grown = heads.join(done, "log_file_id", "left").filter("done is null or seq > done").select("log_file_id")
     else:
         grown = heads.select("log_file_id")
-    rows = events.join(F.broadcast(grown), "log_file_id", "left_semi")
-    Projections(rows, files, overrides, options).write(folder, tuple(t for t in Projections.TABLES if t != "zones"))
-    Projections(events, files, overrides, options).write(folder, ("zones",))
+    numbers = tuple(r["log_file_id"] for r in grown.collect())  # numbers of logs, not data
+    rows = events.filter(F.col("log_file_id").isin(*numbers)) if numbers else events.limit(0)
+    p = Projections(rows, files, overrides, options, signals).shared()
+    try:
+        p.write(folder, tuple(t for t in Projections.TABLES if t != "zones"), numbers)
+    finally:
+        p.release()
+    Projections(events, files, overrides, options, signals).write(folder, ("zones",))
     return heads.withColumn("version", F.lit(VERSION))

@@ -89,7 +89,12 @@ def get_actor_stats(p: Projections, encounter_id: int | None = None, session_id:
         F.col("folded").alias("actor"), (F.lit(None).cast("string") if fold_pets else F.col("_owner")).alias("attrib_owner"), *SUMS, "max_hit", rate(F.col("damage_total"), F.col("duration_ms"), 1000).alias("dps"), rate(F.col("heal_total"), F.col("duration_ms"), 1000).alias("hps"),
         *[F.when(one, F.col(c)).alias(c) for c in ("active_stance", "active_invocation")],
     )
-    return out.orderBy(F.desc("damage_total"), "actor")
+    return out.join(first_ids(p), "actor", "left").orderBy(F.desc("damage_total"), "first_id", "actor").drop("first_id")
+
+
+def first_ids(p: Projections) -> DataFrame:
+    """``actor, first_id``: the place of each name by log and entity id, which breaks ties."""
+    return p.entities.groupBy(F.col("name").alias("actor")).agg(F.min(F.struct("log_file_id", "entity_id")).alias("first_id"))
 
 
 def min_confidence(p: Projections, encounter_id: int | None = None, session_id: int | None = None) -> DataFrame:
@@ -112,7 +117,7 @@ def get_encounter(p: Projections, encounter_id: int, log_file_id: int | None = N
         "participants": people,
         "actors": get_actor_stats(p, encounter_id, fold_pets=False, log_file_id=log_file_id),
         "actors_folded": get_actor_stats(p, encounter_id, log_file_id=log_file_id),
-        "buckets": matching(p.buckets, encounter_id=encounter_id, log_file_id=log_file_id).orderBy("bucket_ts", "actor"),
+        "buckets": matching(p.buckets, encounter_id=encounter_id, log_file_id=log_file_id).join(ids.withColumnRenamed("name", "actor"), ["log_file_id", "actor"], "left").orderBy("bucket_ts", "entity_id"),
     }
 
 

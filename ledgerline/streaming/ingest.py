@@ -42,7 +42,7 @@ def attached_stream(events: DataFrame, options: Options | None = None) -> DataFr
         active = {f[0]: Fight(*f) for f in json.loads(state.get[0])} if state.exists else {}
         frame = pd.concat(list(frames)).sort_values("seq").astype({"a": object, "b": object, "enemy": object})
         frame = frame.where(frame.notna(), None)
-        found = assign(zip(*(frame[c].tolist() for c in ("seq", "ts", "what", "a", "b", "enemy")), strict=True), options, active)
+        found = assign(zip(*(frame[c].tolist() for c in ("seq", "ts", "what", "a", "b", "enemy", "ts")), strict=True), options, active)
         state.update((json.dumps([[f.enemy, f.opener, f.ended, sorted(f.allies), f.raid] for f in active.values()]),))
         out = pd.DataFrame(found, columns=["seq", "opener_seq", "enemy"])
         out.insert(0, "session_no", key[1])

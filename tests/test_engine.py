@@ -100,7 +100,7 @@ def test_override_takes_the_pet_away(spark):
 
 def test_named_boss_and_hits_back(spark):
     p = projected(spark, events(spark, melee(0, "You", "Boss", 20), melee(S, "Ann", "Boss", 20), melee(S, "Bob", "Boss", 30), melee(S, "Boss", "Ann", 50), melee(S, "Boss", "YOU", 9)))
-    assert rows(read.get_actor_stats(p, 1), "actor", "damage_total") == [("Bob", 30), ("Ann", 20), ("Owner", 20)]
+    assert rows(read.get_actor_stats(p, 1), "actor", "damage_total") == [("Bob", 30), ("Owner", 20), ("Ann", 20)]
     assert sorted(rows(p.participants, "role")) == ["ally"] * 3 + ["enemy"]
 
 
@@ -182,3 +182,25 @@ def test_signals_from_outside_link_to_whom_they_name(spark):
     p.signals = signals
     got = {(r.seq, r.source_name, r.attributed_name) for r in attribution(p.timeline.filter("seq >= 3")).collect()}
     assert got == {(3, "Helper", "Helper"), (4, "Helper", "Ann")}
+
+
+def test_deeds_of_a_pet_whose_owner_is_an_enemy_are_not_booked(spark):
+    steps = [melee(0, "You", "Lord Grey", 5), melee(500, "Fluff", "a rat", 9), melee(500, "You", "a rat", 5)]
+    rows = events(spark, *steps)
+    told = spark.createDataFrame([(1, 1, "Fluff", "owner", "Lord Grey"), (1, 2, "Lord Grey", "kind", "npc")], "log_file_id long, override_id long, name string, field string, new_value string")
+    friend = spark.createDataFrame([(1, 1, "Fluff", "owner", "Ann")], "log_file_id long, override_id long, name string, field string, new_value string")
+    for overrides, want in ((told, {"Owner"}), (friend, {"Owner", "Fluff"})):
+        p = projected(spark, rows, overrides=overrides)
+        assert {r.actor for r in p.actor_stats.collect()} == want
+
+
+def test_ties_go_to_the_earlier_entity(spark):
+    p = projected(spark, events(spark, melee(0, "Zoe", "a rat", 5), melee(0, "Ann", "a rat", 5), melee(0, "You", "a rat", 1)))
+    assert [r.actor for r in read.get_actor_stats(p).collect()] == ["Zoe", "Ann", "Owner"]
+
+
+def test_only_combat_reaches_the_machine(spark):
+    """A line of another kind, even one whose time later runs back, ends fights as before."""
+    steps = [melee(0, "You", "a rat", 5), step(40 * S, "xp_gain", percent_milli=1), melee(-39 * S, "You", "a rat", 5), melee(S, "You", "a rat", 5)]
+    p = projected(spark, events(spark, *steps))
+    assert [(r.opener_seq, r.started_ts - 1_760_000_000_000) for r in p.encounters.orderBy("opener_seq").collect()] == [(1, 0), (3, S)]

@@ -7,7 +7,7 @@ import pytest
 from ledgerline.operators.parse import events_of
 from ledgerline.plans.project import Projections, updated
 from ledgerline.sources.log_files import decoded, discover_logs, lines_of, read_lines, registered, split_lines, time_of
-from ledgerline.sources.sink import append_events, idempotent, justified, registered_heads
+from ledgerline.sources.sink import append_events, heads_of, idempotent, justified, marks_of, registered_heads
 from ledgerline.streaming.ingest import attached_stream, ingest
 from ledgerline.streaming.tail import tail
 from tests.support import events, files, melee, parsed, projected, step
@@ -99,6 +99,61 @@ def test_sink_refuses_what_does_not_agree(spark, tmp_path):
     assert set(reasons) == {1, 2} and "empty" in reasons[2]
 
 
+def test_sink_keeps_its_contract(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    store, rows = str(tmp_path / "e"), events(spark, *group_fight())
+    hit = rows.filter("type = 'melee_hit'").first()
+    assert append_events(rows, store) == rows.count()
+    changed = rows.withColumn("amount", F.when(F.col("seq") == hit.seq, 777).otherwise(F.col("amount")))
+    with pytest.raises(ValueError, match="differs"):
+        append_events(changed, store)
+    twice = events(spark, *group_fight(), number=2).filter("seq < 3")
+    with pytest.raises(ValueError, match="two offsets"):
+        append_events(twice.union(twice.withColumn("byte_offset", F.col("byte_offset") + 7)), store)
+    pair = spark.createDataFrame([(1, None, "x"), (1, "x", None)], "k long, a string, b string")
+    with pytest.raises(Exception, match="rows differ under one key"):
+        idempotent(pair, ["k"]).collect()
+    assert idempotent(pair.filter("a is null").union(pair.filter("a is null")), ["k"]).count() == 1
+
+
+def test_watermarks_move_with_the_rows(spark, tmp_path):
+    store, rows = str(tmp_path / "e"), events(spark, *group_fight())
+    end = registered_heads(rows).first()
+    append_events(rows.filter("seq <= 9"), store)
+    assert heads_of(spark.read.parquet(marks_of(store))).first().seq == 9
+    claim = lambda at, seq: spark.createDataFrame([(1, at, seq)], "log_file_id long, byte_offset long, seq long")
+    rest = rows.filter("seq > 9")
+    for wrong in (claim(end.byte_offset + 1, end.seq), claim(end.byte_offset, end.seq + 1)):
+        with pytest.raises(ValueError, match="not borne out"):
+            append_events(rest, store, wrong)
+    assert spark.read.parquet(store).count() == 9  # nothing of a refused batch was written
+    assert append_events(rest, store, claim(end.byte_offset, end.seq)) == rows.count() - 9
+    assert append_events(rest, store, claim(end.byte_offset, end.seq)) == 0
+    head = heads_of(spark.read.parquet(marks_of(store))).first()
+    assert (head.byte_offset, head.seq) == (end.byte_offset, end.seq)
+    from pyspark.sql import functions as F
+
+    late = events(spark, *group_fight()[:2]).withColumn("seq", F.col("seq") + 100).withColumn("byte_offset", F.col("byte_offset") + 1)
+    with pytest.raises(ValueError, match="moves back"):
+        append_events(late, store)
+
+
+def test_an_update_equals_a_rebuild_with_signals_and_empties_what_is_gone(spark, tmp_path):
+    from ledgerline.schema import Options
+
+    folder, rows = str(tmp_path / "tables"), events(spark, *group_fight())
+    one = files(spark)
+    told = spark.createDataFrame([(1, 1, 1_760_000_000_000, "Ann", "You", "user_assertion")], "log_file_id long, seq long, ts long, pet string, owner string, evidence_type string")
+    updated(folder, rows, one, None, None, Options(), told)
+    want = Projections(rows, one, signals=told).entity_links.select("pet", "owner").collect()
+    assert want and spark.read.parquet(folder + "/entity_links").select("pet", "owner").collect() == want
+    updated(folder, rows, one, None)  # without the signal the log has no such link any more
+    spark.catalog.clearCache()
+    left = [r.pet for r in spark.read.parquet(folder + "/entity_links").select("pet").collect()] if (tmp_path / "tables" / "entity_links").exists() and list((tmp_path / "tables" / "entity_links").glob("*/*.parquet")) else []
+    assert left == [r.pet for r in Projections(rows, one).entity_links.select("pet").collect()]
+
+
 def test_tailing_resumes_and_equals_the_batch(spark, tmp_path):
     logs, store, marks = tmp_path / "logs", str(tmp_path / "events"), str(tmp_path / "checkpoint")
     logs.mkdir()
