@@ -102,6 +102,10 @@ class WordIds:
             known[w] = np.array(e.ids, "<u4").tobytes()
         known.update((w, known[core] + known[mark]) for w, (core, mark) in plain.items())
 
+    def settle(self) -> None:
+        """Forget the last generation; its words that were met again are in the present one."""
+        self.before = {}
+
     def agrees(self, text: str) -> bool:
         return self.encode(text) == np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -123,6 +127,9 @@ class PlainIds:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         return [self.encode(t) for t in texts]
 
+    def settle(self) -> None:
+        pass
+
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -250,6 +257,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                     for column, value in zip(out, (doc_id, start, len(part) // 4, zlib.crc32(part), n, row), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
+        words.settle()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"), F.monotonically_increasing_id().alias("row")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long")
 
