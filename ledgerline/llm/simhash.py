@@ -314,7 +314,7 @@ def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 #: Texts and shingles of a block of a component; a task compares two blocks.
-BLOCK_TEXTS = 2048
+BLOCK_TEXTS = 512
 BLOCK_SHINGLES = 2_000_000
 
 

@@ -126,7 +126,7 @@ def test_blocks_of_a_component_meet(spark):
     root = roots(len(rows), edges)
     want = {rows[i][0]: min(rows[j][0] for j in range(len(rows)) if root[j] == root[i]) for i in range(len(rows))}
     df = spark.createDataFrame([(i, t, "a", "b", 1) for i, t in [*rows, rows[0]]], SCHEMA)
-    for size in (4, 2048):
+    for size in (4, 512):
         assert {r.doc_id: r.component_id for r in similar_texts(df, block_texts=size).collect()} == want
 
 
