@@ -1,13 +1,15 @@
 """Log files: discovery, decoding, and lines with byte offsets.
 
-A file is read once.  Its lines leave the reader with number, byte offset, decoded text and time, so that parsing needs
-no window and no shuffle.
+Lines leave the reader with number, byte offset, decoded text and time, so that parsing needs no window and no shuffle.
+A short file is read once; a long one is read in splits, whose sizes are summed beforehand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from datetime import UTC, datetime
+from functools import reduce
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -115,33 +117,132 @@ def lines_of(content: bytes, start: int = 0, line_no: int = 0, last_ts: int = 0,
         yield line_no, offset, length, text, ts, last_ts, overflow
 
 
-def read_lines(spark: SparkSession, files: DataFrame, flush_tail: bool = False, encoding: str = "windows-1252", most: int = MOST_LINE_BYTES, resume: DataFrame | None = None) -> DataFrame:
-    """Lines of registered files; each file is one task's work and at most 2 GB.
+#: Of a split of a long file: its offset, the length of a byte order mark that the text reader took away, the file's size,
+#: where reading starts, the lines before and the time carried into it.
+SPLIT = "path string, log_file_id long, block long, at long, mark long, size long, start long, seq long, last_ts long"
+
+
+def line_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows in the form of `LINES`, ten thousand at a time."""
+    types = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    schema = pa.schema([(f.split()[0], types[f.split()[1]]) for f in LINES.split(", ")])
+    while out := list(islice(rows, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
+def read_lines(spark: SparkSession, files: DataFrame, flush_tail: bool = False, encoding: str = "windows-1252", most: int = MOST_LINE_BYTES, resume: DataFrame | None = None, whole_bytes: int = 64 << 20) -> DataFrame:
+    """Lines of registered files.  A file of up to `whole_bytes` is one task's work, a longer one is read in splits.
 
     `resume` (``path, byte_offset, seq, last_ts``) starts a file where an earlier read ended.  A file shorter than that
     raises: it was truncated or replaced.
     """
     paths = [r["path"] for r in files.select("path").collect()]  # file names, not data
     if not paths:
-        return spark.createDataFrame([], LINES)
-    content = spark.read.format("binaryFile").load(paths).select("path", "content")
-    rows = content.join(F.broadcast(files.select("path", "log_file_id")), "path")
+        return spark.createDataFrame([], LINES).withColumn("seq", F.col("line_no"))
+    found = spark.read.format("binaryFile").load(paths)
+    long = [r["path"] for r in found.filter(F.col("length") > whole_bytes).select("path").collect()]
     begun = resume.select("path", "byte_offset", "seq", "last_ts") if resume is not None else spark.createDataFrame([], "path string, byte_offset long, seq long, last_ts long")
-    rows = rows.join(F.broadcast(begun), "path", "left").select("path", "log_file_id", "content", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("byte_offset", "seq", "last_ts")])
+    begun = files.select("path", "log_file_id").join(begun, "path", "left").select("path", "log_file_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("byte_offset", "seq", "last_ts")])
+    short = [p for p in paths if p not in set(long)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in LINES.split(", ")]
         for batch in batches:
-            for path, number, data, start, seq, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for path, data, number, start, seq, last in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if start > len(data):
                     raise ValueError(f"{path} has {len(data)} bytes, fewer than the {start} read before: it was truncated or replaced")
-                out: list[tuple] = []
-                for no, offset, length, text, own, ts, over in lines_of(data, start, seq, last, flush_tail, encoding, most):
-                    out.append((path, number, no, offset, length, text, own, ts, over))
-                    if len(out) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) if i not in (6,) else pa.array(c, pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=names)
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if i not in (6,) else pa.array(c, pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=names)
-
-    return rows.mapInArrow(run, LINES).withColumn("seq", F.col("line_no"))
+                yield from line_batches((path, number, *x) for x in lines_of(data, start, seq, last, flush_tail, encoding, most))
+
+    parts = []
+    if short:
+        content = spark.read.format("binaryFile").load(short).select("path", "content").join(F.broadcast(begun), "path")
+        parts.append(content.mapInArrow(run, LINES))
+    if long:
+        parts.append(long_lines(spark, long, begun, flush_tail, encoding, most))
+    return reduce(DataFrame.union, parts).withColumn("seq", F.col("line_no"))
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytes]]:
+    """(what is known of the split, with ``at`` for these bytes; bytes) of the lines of each split, batch by batch.
+
+    A last line without its end has none here either.  What was read before is left out.
+    """
+    split, at = None, 0
+    for batch in batches:
+        known, lines = batch.drop_columns(["line"]), batch.column("line").to_pylist()
+        marks = list(zip(known.column("path").to_pylist(), known.column("block").to_pylist(), strict=True))
+        a = 0
+        while a < len(lines):
+            b = next((i for i in range(a + 1, len(lines)) if marks[i] != marks[a]), len(lines))
+            data = b"\n".join(lines[a:b]) + b"\n"
+            if marks[a] != split:
+                info = known.slice(a, 1).to_pylist()[0]
+                if info["at"] is None:
+                    raise RuntimeError("the splits of long files changed while they were read; set spark.sql.files.minPartitionNum")
+                if info["start"] > info["size"]:
+                    raise ValueError(f"{info['path']} has {info['size']} bytes, fewer than the {info['start']} read before: it was truncated or replaced")
+                split, at = marks[a], info["at"]
+                data = b"\xef\xbb\xbf" * (info["mark"] // 3) + data
+            start, end = max(at, info["start"]), at + len(data)
+            # bytes beyond the listed size came after the listing
+            yield info | {"at": start}, data[start - at : max(info["size"] - at, 0)]
+            a, at = b, end
+
+
+def long_lines(spark: SparkSession, paths: list[str], begun: DataFrame, flush_tail: bool, encoding: str, most: int) -> DataFrame:
+    """Lines of files of any length, read in splits by as many tasks.
+
+    The text reader gives the lines of a split in order but not their place.  The bytes of all splits, then their lines
+    and last times, are summed first, and each split starts from the sums before it.  The sums are broadcast: one row for
+    each split, some 100 bytes for every 128 MB.
+    """
+    names = spark.read.format("binaryFile").load(paths).select("path", F.col("_metadata.file_path").alias("file"))
+    meta = names.join(F.broadcast(begun), "path")
+    rows = spark.read.option("lineSep", "\n").text(paths)
+    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+
+    whole, earlier = Window.partitionBy("file"), Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("file", "block").agg(F.sum(F.length("line").cast("long") + 1).alias("bytes"), F.max("size").alias("size"))
+    # every line is counted with an end, so a sum below the size means that a byte order mark is missing
+    mark = F.when(F.max("size").over(whole) - F.sum("bytes").over(whole) >= 2, 3).otherwise(0)
+    placed = sums.withColumn("lost", mark).withColumn("at", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)) + F.when(F.col("block") > 0, F.col("lost")).otherwise(0))
+    placed = placed.join(F.broadcast(meta), "file").select("file", "block", "at", F.when(F.col("block") == 0, F.col("lost")).otherwise(0).cast("long").alias("mark"), "size", "path", "log_file_id", F.col("byte_offset").alias("start"), "seq", "last_ts")
+    order = ["path", "log_file_id", "block", "at", "mark", "size", "start", "seq", "last_ts"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, info, lines, seen = None, None, 0, None
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{c: info[c] for c in order} | {"file": info["file"], "at": info["first"], "lines": lines, "seen": seen}], schema=counted)
+
+        for found, data in runs_of(batches):
+            if (found["path"], found["block"]) != key:
+                if info is not None:
+                    yield told()
+                key, info, lines, seen = (found["path"], found["block"]), found, 0, None
+            for _, _, _, _, own, _, _ in lines_of(data, 0, 0, 0, flush_tail, encoding, most):
+                lines, seen = lines + 1, seen if own is None else own
+        if info is not None:
+            yield told()
+
+    text, number = pa.string(), pa.int64()
+    counted = pa.schema([("file", text), ("path", text), *[(c, number) for c in order[1:]], ("lines", number), ("seen", number)])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple]:
+            key, no, ts = None, 0, 0
+            for info, data in runs_of(batches):
+                if (info["path"], info["block"]) != key:
+                    key, no, ts = (info["path"], info["block"]), info["seq"], info["last_ts"]
+                for line in lines_of(data, 0, no, ts, flush_tail, encoding, most):
+                    no, ts = line[0], line[5]
+                    yield info["path"], info["log_file_id"], no, info["at"] + line[1], *line[2:]
+
+        return line_batches(found())
+
+    def with_line(known: DataFrame) -> DataFrame:
+        return rows.select("file", "block", "line").join(F.broadcast(known), ["file", "block"], "left").select("file", *order, F.col("at").alias("first"), "line")
+
+    heads = with_line(placed).mapInArrow(count, "file string, " + SPLIT + ", lines long, seen long")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("seq", F.col("seq") + F.coalesce(F.sum("lines").over(before), F.lit(0))).withColumn("last_ts", F.coalesce(F.last("seen", ignorenulls=True).over(before), "last_ts"))
+    return with_line(heads.drop("lines", "seen")).mapInArrow(write, LINES)
