@@ -2,7 +2,9 @@
 
 The offset of the stream is, for each file, how many bytes and lines of it were read and the last time seen.  Spark's
 checkpoint keeps it, so a restarted query goes on at the next line; an unfinished last line waits for its end.  A file
-that has become shorter fails the query.  The source runs on the driver, next to the files, as a tailer does.
+that has become shorter fails the query.  With ``maxFiles`` only the newest files are read at a time; one that falls
+behind them, or is gone, keeps its place and goes on from there when it comes back.  The source runs on the driver, next
+to the files, as a tailer does.
 """
 
 from __future__ import annotations
@@ -62,9 +64,10 @@ class LogTailReader(SimpleDataSourceStreamReader):
         return rows, at
 
     def _read(self, start: dict, end: dict | None) -> tuple[list[tuple], dict]:
-        paths = list(end) if end is not None else [*start, *sorted(p for p in logs_in(self.folder, self.newest) if p not in start)]
-        rows, after = [], {}
-        for path in paths:
+        """Rows of the newest files, or up to `end`; files that are not among them keep their place and wait."""
+        listed = sorted(logs_in(self.folder, self.newest)) if end is None else [p for p in end if end[p]["bytes"] > start.get(p, {}).get("bytes", 0)]
+        rows, after = [], dict(start)
+        for path in listed:
             number = (end or {}).get(path, start.get(path, {})).get("number") or len(after) + 1
             state = start.get(path, {"number": number, "bytes": 0, "lines": 0, "ts": 0})
             found, after[path] = self._part(path, number, state, end[path]["bytes"] if end is not None else None)

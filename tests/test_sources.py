@@ -83,6 +83,31 @@ def test_discovery_registration_and_resume(spark, tmp_path):
         read_lines(spark, known, resume=resume).collect()
 
 
+@pytest.mark.parametrize(("ending", "lead"), [(b"[Fri Jul 10 17:1", b""), (b"x" * 700, b"\xef\xbb\xbf"), (b"y" * 90 + b"\r\n\n", b"")])
+def test_long_files_are_read_in_splits(spark, tmp_path, ending, lead):
+    data = lead + DATA + b"no time \x80\xff\r\n" * 9 + b"z" * 400 + b"\n" + DATA + ending
+    for name in ("xlog_Owner_one.txt", "xlog_Other_two.txt"):
+        (tmp_path / name).write_bytes(data)
+    known = registered(discover_logs(spark, str(tmp_path)))
+    starts = [r[1] for r in lines_of(data, most=64)]
+    where = known.first()["path"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "333")
+    try:
+        for flush in (False, True):
+            whole, split = (read_lines(spark, known, flush, most=64, whole_bytes=n) for n in (1 << 20, 100))
+            assert sorted(split.collect()) == sorted(whole.collect())
+        cut = len(starts) // 2
+        for at in (starts[cut], starts[-1]):
+            resume = spark.createDataFrame([(where, at, 7, 5)], "path string, byte_offset long, seq long, last_ts long")
+            whole, split = (read_lines(spark, known, True, most=64, resume=resume, whole_bytes=n) for n in (1 << 20, 100))
+            assert sorted(split.collect()) == sorted(whole.collect())
+        late = spark.createDataFrame([(where, len(data) + 1, 7, 5)], "path string, byte_offset long, seq long, last_ts long")
+        with pytest.raises(Exception, match="truncated"):
+            read_lines(spark, known, resume=late, whole_bytes=100).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_sink_refuses_what_does_not_agree(spark, tmp_path):
     store, rows = str(tmp_path / "e"), events(spark, *group_fight())
     append_events(rows, store)
@@ -164,6 +189,33 @@ def test_tailing_resumes_and_equals_the_batch(spark, tmp_path):
     assert got == parsed(spark, GOLDEN).orderBy("seq").select("seq", "raw", "ts", "type", "byte_offset").collect()
 
 
+def test_the_tailer_swaps_to_the_newest_files_and_back(tmp_path):
+    import os
+
+    from ledgerline.streaming.tail import LogTailReader
+
+    line = DATA[: DATA.index(b"\n") + 1]
+    a, b = (str(tmp_path / f"xlog_Owner_{x}.txt") for x in "ab")
+
+    def put(path, lines, when):
+        with open(path, "wb") as f:
+            f.write(line * lines)
+        os.utime(path, (when, when))
+
+    reader, at, got = LogTailReader({"path": str(tmp_path), "maxFiles": "1"}), {}, []
+    for step_ in ((a, 2, 10), (b, 1, 20), (a, 3, 15), (a, 4, 30)):
+        put(*step_)
+        rows, after = reader.read(at)
+        rows = list(rows)
+        assert rows == list(reader.readBetweenOffsets(at, after))
+        got.append([(r[0][-5], r[1], r[2]) for r in rows])
+        at = after
+    # a line that a file gains while it is not among the newest waits until it is
+    assert got == [[("a", 1, 1), ("a", 1, 2)], [("b", 2, 1)], [], [("a", 1, 3), ("a", 1, 4)]]
+    os.remove(a)  # a file that is gone is no longer read, its place is kept
+    assert list(reader.read(at)[0]) == [] and reader.read(at)[1] == at
+
+
 def test_streamed_fights_equal_batch_fights(spark, tmp_path):
     rng, steps = random.Random(2), []
     for _ in range(120):
