@@ -182,14 +182,24 @@ def finalize_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enc.finalized(rows, now, Options(group_timeout_ms=TIMEOUT, raid_timeout_ms=8 * TIMEOUT)).select("user_id", "event_type", "island", "status", "scale")
 
 
-@query()
+# One step for each event of a user: open fights that it finds timed out go, its own fight is opened or goes on.
+@query(f"""WITH RECURSIVE {EV}, e AS (SELECT user_id, event_id, event_type, ms, 'ally' || (json_extract(props, '$.k'))::INTEGER % 12 AS ally, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM ev),
+    run(user_id, n, seq, opener_seq, enemy, fights) AS (
+        SELECT user_id, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, []::STRUCT(enemy VARCHAR, opener BIGINT, ended BIGINT, allies VARCHAR[])[] FROM (SELECT DISTINCT user_id FROM e)
+        UNION ALL
+        SELECT user_id, n, event_id, own.opener, event_type, list_append(list_filter(alive, lambda f: f.enemy <> event_type), own) FROM (
+            SELECT *, struct_pack(enemy := event_type, opener := coalesce(mine.opener, event_id), ended := ms, allies := list_distinct(list_append(coalesce(mine.allies, []), ally))) AS own FROM (
+                SELECT *, list_filter(alive, lambda f: f.enemy = event_type)[1] AS mine FROM (
+                    SELECT e.user_id, e.n, e.event_id, e.event_type, e.ms, e.ally, list_filter(r.fights, lambda f: e.ms - f.ended <= CASE WHEN len(f.allies) > 1 THEN {8 * TIMEOUT} ELSE {TIMEOUT} END) AS alive
+                    FROM run r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))))
+    SELECT user_id, seq, opener_seq, enemy FROM run WHERE n > 0""")
 def encounter_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sequential machine: users fight event types, and each hour-of-day is an ally; the seventh makes a raid."""
+    """The sequential machine: users fight event types, and their allies take turns; the second ally makes a raid."""
     from ledgerline.schema import Options
 
     e = events_of(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("int") % 12)
     rows = e.select(F.lit(1).cast("long").alias("log_file_id"), F.col("user_id").alias("session_no"), F.col("event_id").alias("seq"), F.col("ms").alias("ts"), F.lit("melee_hit").alias("type"), F.concat(F.lit("ally"), "k").alias("a_canonical"), F.col("event_type").alias("b_canonical"), F.lit("owner").alias("a_side"), F.lit("enemy").alias("b_side"))
-    return enc.attached(rows, Options(group_timeout_ms=TIMEOUT, raid_timeout_ms=8 * TIMEOUT)).select(F.col("session_no").alias("user_id"), "seq", "opener_seq", "enemy")
+    return enc.attached(rows, Options(group_timeout_ms=TIMEOUT, raid_timeout_ms=8 * TIMEOUT, raid_allies=1)).select(F.col("session_no").alias("user_id"), "seq", "opener_seq", "enemy")
 
 
 @query(f"""WITH {EV} SELECT user_id, event_id, cents AS delta, 'sale' AS reason FROM ev WHERE event_type = 'purchase' UNION ALL SELECT user_id, event_id, cents AS delta, 'coin' AS reason FROM ev WHERE event_type = 'click'""")
