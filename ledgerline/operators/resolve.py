@@ -99,7 +99,9 @@ def resolved(events: DataFrame, files: DataFrame, overrides: DataFrame | None =
     told = F.when(outside, F.struct(F.col("trust").alias("c"), (-F.col("seq")).alias("s"), F.lit("pet").alias("k"))).when(chatter, rank("pet", TRUST["pet_chatter"])).when(shield & (F.col("burns") | article), rank("npc", ARTICLE_TRUST)).when(candidate, rank("pet", TRUST["damage_shield_possessive"]))
     best = F.greatest(sight, F.coalesce(told, sight))
     link = F.when(outside, F.col("trust")).when(chatter, TRUST["pet_chatter"]).when(candidate, TRUST["damage_shield_possessive"])
-    linked = F.when(link.isNotNull(), F.struct(link.alias("c"), (-F.col("seq")).alias("s"), F.coalesce("told", "owner_name").alias("o")))
+    # of equals the first stays, but a later assertion of the user corrects an earlier one
+    turn = F.when(link == TRUST["user_assertion"], F.col("seq")).otherwise(-F.col("seq"))
+    linked = F.when(link.isNotNull(), F.struct(link.alias("c"), turn.alias("s"), F.coalesce("told", "owner_name").alias("o")))
     w = Window.partitionBy("log_file_id", "canonical").orderBy("seq").rangeBetween(Window.unboundedPreceding, 0)
     state = rows.withColumn("_kind", F.max(best).over(w)).withColumn("_link", F.max(linked).over(w)).withColumn("evidence_count", F.count(link).over(w))
     kind = F.coalesce("user_kind", F.col("_kind.k"))
@@ -114,6 +116,8 @@ def resolved(events: DataFrame, files: DataFrame, overrides: DataFrame | None =
         F.col("burns"),
         "evidence_count",
         link.alias("link_evidence"),
+        linked.alias("link_rank"),
+        "user_kind", "user_owner",
     )
 
 
@@ -151,3 +155,23 @@ def resolver_heads(states: DataFrame) -> DataFrame:
     seen = [F.min_by("ts", F.struct("seq", "pos")).alias("first_seen_ts"), F.max_by("ts", F.struct("seq", "pos")).alias("last_seen_ts")]
     links = [F.count("link_evidence").alias("evidence_count"), F.min(F.when(F.col("link_evidence").isNotNull(), F.col("ts"))).alias("link_first_ts"), F.max(F.when(F.col("link_evidence").isNotNull(), F.col("ts"))).alias("link_last_ts"), F.max("link_evidence").alias("best_link_evidence")]
     return states.groupBy("log_file_id", "canonical").agg(*last, *seen, *links)
+
+
+def link_conflicts(states: DataFrame) -> DataFrame:
+    """``log_file_id, name, seq, ts, owner, evidence_type, confidence, reason``: claims of an owner that lost to another's.
+
+    Each evidence for an owner other than the one believed before sets one of both aside: the weaker, or of equals the
+    later, except that the latest assertion of the user stands.  Names that the user calls no pet have no claims.
+    """
+    rows = states.filter(F.col("link_rank").isNotNull() & F.coalesce(F.col("user_kind") == "pet", F.lit(True)))
+    w = Window.partitionBy("log_file_id", "canonical").orderBy("seq", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    # a correction by the user holds for the whole log and nothing outranks it
+    sure = F.struct(F.lit(2.0).alias("c"), F.lit(0).cast("long").alias("s"), F.col("user_owner").alias("o"))
+    rows = rows.withColumn("held", F.max("link_rank").over(w)).withColumn("held", F.when(F.col("user_owner").isNotNull(), sure).otherwise(F.col("held")))
+    rows = rows.filter(F.col("held.o") != F.col("link_rank.o"))
+    loser = F.least("held", "link_rank")
+    types = F.create_map(*[F.lit(x) for kind, trust in TRUST.items() for x in (trust, kind)])
+    return rows.select(
+        "log_file_id", F.col("canonical").alias("name"), "seq", "ts", loser["o"].alias("owner"), F.element_at(types, loser["c"]).alias("evidence_type"), loser["c"].alias("confidence"),
+        F.when(F.least(loser["c"], F.lit(1.0)) < F.least(F.greatest("held.c", "link_rank.c"), F.lit(1.0)), "lower_confidence").otherwise("equal_confidence_kept_first").alias("reason"),
+    )

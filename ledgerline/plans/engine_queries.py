@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.resolve import link_conflicts
 from ledgerline.plans import read
 from ledgerline.plans.driver_queries import EV, ORACLES, QUERIES, events_of, query
 from ledgerline.plans.project import Projections
@@ -181,4 +182,20 @@ def engine_min_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.min_confidence(told(spark, sf_dir))
 
 
+# Errors with an odd coin say that the pet is another's, a quarter of them with as much trust as chatter.
+@query(f"""WITH {TOLD}, claims AS (SELECT log_file_id, seq, ts, 0.95 AS c, hero AS o FROM t WHERE type = 'pet_chatter'
+        UNION ALL SELECT log_file_id, seq, ts, CASE WHEN cents % 4 = 1 THEN 0.95 ELSE 0.7 END, CASE WHEN cents % 3 = 0 THEN 'Ann' ELSE 'Bob' END FROM t WHERE et = 'error' AND cents % 2 = 1),
+    best AS (SELECT *, max(c) OVER w AS held_c FROM claims WINDOW w AS (PARTITION BY log_file_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    held AS (SELECT b.*, (SELECT arg_min(x.o, x.seq) FROM claims x WHERE x.log_file_id = b.log_file_id AND x.seq < b.seq AND x.c = b.held_c) AS held_o FROM best b)
+    SELECT log_file_id, 'Rover' AS name, seq, ts, CASE WHEN c > held_c THEN held_o ELSE o END AS owner, CASE WHEN least(c, held_c) = 0.95 THEN 'pet_chatter' ELSE 'damage_shield_possessive' END AS evidence_type,
+        least(c, held_c)::DOUBLE AS confidence, CASE WHEN c = held_c THEN 'equal_confidence_kept_first' ELSE 'lower_confidence' END AS reason FROM held WHERE o <> held_o""")
+def engine_link_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims on a pet that lost against another owner's."""
+    p = told(spark, sf_dir)
+    e = events_of(spark, sf_dir).filter("event_type = 'error' and cents % 2 = 1")
+    owner, kind = F.when(F.col("cents") % 3 == 0, "Ann").otherwise("Bob"), F.when(F.col("cents") % 4 == 1, "pet_chatter").otherwise("damage_shield_possessive")
+    p.signals = e.select((F.col("user_id") % 3 + 1).alias("log_file_id"), F.col("event_id").alias("seq"), F.col("ms").alias("ts"), F.lit("Rover").alias("pet"), owner.alias("owner"), kind.alias("evidence_type"))
+    return link_conflicts(p.states)
+
+
 __all__ = ["QUERIES", "ORACLES", "told"]

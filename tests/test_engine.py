@@ -204,3 +204,17 @@ def test_only_combat_reaches_the_machine(spark):
     steps = [melee(0, "You", "a rat", 5), step(40 * S, "xp_gain", percent_milli=1), melee(-39 * S, "You", "a rat", 5), melee(S, "You", "a rat", 5)]
     p = projected(spark, events(spark, *steps))
     assert [(r.opener_seq, r.started_ts - 1_760_000_000_000) for r in p.encounters.orderBy("opener_seq").collect()] == [(1, 0), (3, S)]
+
+
+def test_claims_that_lose_are_kept(spark):
+    from ledgerline.operators.resolve import link_conflicts, resolved
+
+    rows = events(spark, step(1, "pet_chatter", pet="Rex"), *[melee(1000, "Rex", "a rat", 1)] * 6)
+    said = [(1, 2, 0, "Rex", "Ann", "pet_chatter"), (1, 3, 0, "Rex", "Ann", "damage_shield_possessive"), (1, 4, 0, "Rex", "Ann", "user_assertion"), (1, 5, 0, "Rex", "Bob", "user_assertion"), (1, 6, 0, "Rex", "Bob", "pet_chatter")]
+    signals = spark.createDataFrame(said, "log_file_id long, seq long, ts long, pet string, owner string, evidence_type string")
+    lost = lambda **x: [(r.seq, r.owner, r.evidence_type, r.reason) for r in link_conflicts(resolved(rows, files(spark), signals=signals, **x)).orderBy("seq").collect()]
+    equal, lower = "equal_confidence_kept_first", "lower_confidence"
+    assert lost() == [(2, "Ann", "pet_chatter", equal), (3, "Ann", "damage_shield_possessive", lower), (4, "Owner", "pet_chatter", lower), (5, "Ann", "user_assertion", equal)]
+    said_by_user = lambda field, value: spark.createDataFrame([(1, 1, "Rex", field, value)], "log_file_id long, override_id long, name string, field string, new_value string")
+    assert [x[0] for x in lost(overrides=said_by_user("owner", "Ann"))] == [1, 5, 6]
+    assert lost(overrides=said_by_user("kind", "npc")) == []

@@ -12,7 +12,7 @@ def plain(rows):
     return sorted(map(str, (tuple(round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r) for r in rows)))
 
 
-@pytest.mark.parametrize("name", ["engine_sessions", "engine_encounters", "engine_actor_stats", "engine_resolver_states", "engine_session_summaries"])
+@pytest.mark.parametrize("name", ["engine_sessions", "engine_encounters", "engine_actor_stats", "engine_resolver_states", "engine_session_summaries", "engine_link_conflicts"])
 def test_projections_equal_their_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{FOLDER}/events.parquet'")
