@@ -27,7 +27,10 @@ def tune(spark: SparkSession) -> SparkSession:
 
     Recognition projects about fifty fields from one line.  Fused into one method that is more code than the JVM compiles,
     and runs three times slower than the same operators unfused, so wide operators are left unfused.
+    Constraints are not propagated: through the projections' chains of names over file names that are told by patterns they
+    multiply until the planner's memory is used up.
     """
     spark.conf.set("spark.sql.codegen.maxFields", "50")
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     return spark
