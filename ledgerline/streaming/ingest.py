@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -15,22 +15,37 @@ from ledgerline.operators.encounters import ASSIGNED, Fight, assign, combat_rows
 from ledgerline.operators.parse import events_of
 from ledgerline.operators.rules import Registry
 from ledgerline.schema import Options
+from ledgerline.sources.log_files import character_and_server
 from ledgerline.sources.sink import append_events
 
 
 def ingest(lines: DataFrame, folder: str, checkpoint: str, registry: Registry | None = None, once: bool = True) -> StreamingQuery:
     """Append a stream of lines to the event table.
 
-    Exactly once in effect: the checkpoint names the offsets of a batch, and a batch that is run again adds nothing.
+    Exactly once in effect: the checkpoint names the offsets of a batch, and a batch that is run again adds nothing.  Which
+    file has which number is stored beside the events (`known_files`).
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        batch.select("path", "log_file_id").distinct().coalesce(1).write.mode("overwrite").parquet(f"{files_of(folder)}/batch={number}")
         append_events(events_of(batch.withColumn("seq", F.col("line_no")), registry), folder)
 
     out = lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if once else out.trigger(processingTime="200 milliseconds")).start()
 
 
+def files_of(folder: str) -> str:
+    """Where the names of an event table's files are: beside it."""
+    return folder.rstrip("/") + ".files"
+
+
+def known_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, log_file_id, character, server`` of the files of an ingested event table."""
+    rows = spark.read.schema("path string, log_file_id long").parquet(files_of(folder)).select("path", "log_file_id").distinct()
+    character, server = character_and_server(F.col("path"))
+    return rows.select("path", "log_file_id", character.alias("character"), server.alias("server"))
+
+
 def attached_stream(events: DataFrame, options: Options | None = None) -> DataFrame:
     """The encounter machine over a stream of events with sides and sessions; state is the open fights of a session.
 

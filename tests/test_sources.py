@@ -242,3 +242,40 @@ def test_update_equals_rebuild(spark, tmp_path):
     for name in ("sessions", "encounters", "actor_stats", "xp_events", "zones", "entities", "event_links"):
         a, b = (spark.read.parquet(str(tmp_path / x / name)) for x in "ab")
         assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count(), name
+
+
+def test_listeners_hear_of_growth_alone(spark, tmp_path):
+    from time import sleep
+
+    from ledgerline.streaming.live import LiveLogs
+
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    cut = DATA.index(b"\n", 900) + 1
+    (logs / "xlog_Owner_srv.txt").write_bytes(DATA[:cut])
+    live, heard = LiveLogs(spark, str(logs), str(tmp_path / "store")), []
+    with pytest.raises(RuntimeError, match="not started"):
+        live.refresh()
+    end = live.on_update(heard.append)
+    first = live.start().collect()
+    try:
+        assert live.status == "live" and [r.seq for r in first] == [DATA[:cut].count(b"\n")]
+        live.refresh()
+        assert not heard
+        (logs / "xlog_Owner_srv.txt").write_bytes(DATA)
+        for _ in range(120):
+            last = live.refresh()
+            if heard and live.heads[1] == DATA.count(b"\n"):
+                break
+            sleep(0.5)
+        assert heard and [r.seq for r in last.collect()] == [DATA.count(b"\n")]
+        end()
+        (logs / "xlog_Owner_srv.txt").write_bytes(b"short\n")
+        for _ in range(120):
+            live.refresh()
+            if live.status == "failed":
+                break
+            sleep(0.5)
+        assert "truncated" in str(live.error)
+    finally:
+        live.stop()
