@@ -44,6 +44,23 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of a batch of rows that a Python worker gets at once; one row may be longer.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Let rows travel to Python workers in batches of bounded bytes from now on; a smaller bound of the session stays.
+
+    Spark's own bound of 64 MB lets 10,000 texts make a batch.  Both sides hold it several times over, once for each
+    core, and what a worker has once used it seldom gives back.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "64m"))
+    if now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return spark
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names that `df` does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}

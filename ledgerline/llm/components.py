@@ -36,7 +36,8 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v", most_rounds: in
     """
     n = edges.count()
     if not n:
-        return edges.sparkSession.createDataFrame([], "vertex long, component long")
+        # a local list would start Python workers of another kind beside those that run the operators
+        return edges.sparkSession.range(0).select(F.col("id").alias("vertex"), F.col("id").alias("component"))
     parts = pieces(n, TASK_EDGES)
     now = durable(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u <> v").distinct(), parts)
     seen = None

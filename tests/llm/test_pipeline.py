@@ -120,3 +120,24 @@ def test_deduplication_stages_against_brute_force(spark):
     # one row of each component, with its least id; which of several texts under that id is a matter of hashes
     assert sorted(by[t] for _, t in mine) == sorted(first) and all(i == first[by[t]] and least[t] == i for i, t in mine)
     assert all(r[c] == f"{c}:{r.doc_id}" for r in kept for c in names)
+
+
+def test_texts_go_to_workers_in_small_batches(spark):
+    import pyarrow as pa
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    seen = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "size"]) for b in batches)
+    long = 3 << 20
+    docs = spark.createDataFrame([(i, "word " * 4000, "en", "s", 20_000) for i in range(400)] + [(400, "x" * long, "en", "s", long)], SCHEMA).coalesce(1)
+    try:
+        for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_copies, corpus_pipeline.pack_sequences):
+            spark.conf.set(name, before)
+            stage(spark, docs, "")
+            got = docs.select("text").mapInArrow(seen, "n long, size long").collect()
+            assert sum(r.n for r in got) == 401 and max(r.size for r in got if r.size < long) < 2.2e6 and max(r.size for r in got) < long + 2.2e6
+        spark.conf.set(name, "64k")
+        corpus_pipeline.pack_sequences(spark, docs, "")
+        assert spark.conf.get(name) == "64k"
+    finally:
+        spark.conf.set(name, before)

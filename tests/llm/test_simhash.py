@@ -166,3 +166,9 @@ def test_only_similar_texts_are_linked(spark):
     assert {r.doc_id: r.component_id for r in near}[3] == 1  # fingerprints alone link the third text
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (2, 1), (3, 3), (4, 1), (6, 6), (7, 6), (7, 7), (8, 8)]
     assert similar_texts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_components_of_no_edges_need_no_python_workers(spark):
+    got = components(spark.createDataFrame([], "u long, v long"))
+    assert got.dtypes == [("vertex", "bigint"), ("component", "bigint")] and not got.collect()
+    assert "RDD" not in got._jdf.queryExecution().toString()
